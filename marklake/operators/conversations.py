@@ -19,7 +19,10 @@ def conversations_from_resolved(
     compat_hashtags: bool = False,
     **media_flags,
 ) -> DataFrame:
-    """Good documents as ``key.., main_tweet, replies``, each from its own input row."""
+    """``key.., stage, reason, main_tweet, replies``, each row from its own input row.
+
+    Documents that failed keep their row with null content.
+    """
     media_flags.setdefault("video_length_limit", None)
     posts = F.transform(
         "slots",
@@ -31,11 +34,11 @@ def conversations_from_resolved(
             lambda p: p.withField("post.extracted_media", post_media(p["post"], **media_flags)),
         )
     keys = key_columns(resolved)
-    built = resolved.select(*keys, "stage", posts.alias("posts"))
+    built = resolved.select(*keys, "stage", "reason", posts.alias("posts"))
     main = F.get(F.filter("posts", lambda p: p["role"] == "main"), F.lit(0))
     replies = F.transform(F.filter("posts", lambda p: p["role"] == "reply"), lambda p: p["post"])
-    return built.where(F.col("stage").isNull()).select(
-        *keys, main["post"].alias("main_tweet"), replies.alias("replies")
+    return built.select(
+        *keys, "stage", "reason", main["post"].alias("main_tweet"), replies.alias("replies")
     )
 
 
@@ -48,9 +51,10 @@ def extract_conversations(
     **options,
 ) -> DataFrame:
     """Raw documents to nested extracted conversations, without a shuffle."""
-    return conversations_from_resolved(
+    built = conversations_from_resolved(
         resolve_documents(conversations, strict=strict), mode, with_media=with_media, **options
     )
+    return built.where(F.col("stage").isNull()).drop("stage", "reason")
 
 
 def assemble_conversations(

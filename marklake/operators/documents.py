@@ -78,8 +78,8 @@ def _article(path: str, strict: bool) -> str:
     )
 
 
-def _lean_post(p: str, strict: bool) -> str:
-    """The part of a valid post that later operators read."""
+def _lean_post(p: str, strict: bool, quoted: bool = False) -> str:
+    """The part of a valid post that later operators read; quotes show no card and no article."""
     user = f"{p}.core.user_results.result.core"
     note = f"{p}.note_tweet.note_tweet_results.result"
     leg, ent = f"{p}.legacy", f"{p}.legacy.entities"
@@ -98,10 +98,16 @@ def _lean_post(p: str, strict: bool) -> str:
         f"'media', coalesce({_media(f'{ent}.media', strict)}, array()), "
         f"'permalink', {text(f'{leg}.quoted_status_permalink.expanded', strict)}, "
         f"'note', CASE WHEN {p}.note_tweet IS NOT NULL THEN named_struct("
-        f"'text', {text(f'{note}.text', strict)}, 'urls', {_spans(f'{note}.entity_set.urls', strict)}) END, "
+        f"'text', {text(f'{note}.text', strict)}, 'urls', {_spans(f'{note}.entity_set.urls', strict)}) END"
+        + (")" if quoted else f", {_extras(p, strict)})")
+    )
+
+
+def _extras(p: str, strict: bool) -> str:
+    return (
         f"'card', CASE WHEN {p}.card IS NOT NULL THEN transform({p}.card.legacy.binding_values, "
         f"c -> named_struct('key', {text('c.key', strict)}, 'value', c.value)) END, "
-        f"'article', {_article(f'{p}.article', strict)})"
+        f"'article', {_article(f'{p}.article', strict)}"
     )
 
 
@@ -125,48 +131,48 @@ def _outcome(r: str, plain_ok: str, wrapped_ok: str) -> str:
     )
 
 
-def _plain_and_wrapped(r: str) -> str:
-    return (
-        f"array(CASE WHEN {r}.__typename = 'Tweet' THEN {_candidate(r)} END, {_candidate(f'{r}.tweet')})"
-    )
-
-
-def _resolve_quote(q: str, strict: bool) -> str:
-    """Struct (status, post) of a quoted post union; null when there is none."""
-    body = let(
-        "qok",
-        f"transform(qc, c -> {valid('c', model.POST, strict)})",
-        let(
-            "qo",
-            _outcome(q, "qok[0]", "qok[1]"),
-            "named_struct('status', qo, 'post', CASE qo "
-            f"WHEN 'plain' THEN {let('qp', 'qc[0]', _lean_post('qp', strict))} "
-            f"WHEN 'wrapped' THEN {let('qp', 'qc[1]', _lean_post('qp', strict))} END)",
-        ),
-    )
-    return f"CASE WHEN {q} IS NOT NULL THEN {let('qc', _plain_and_wrapped(q), body)} END"
+def _candidates(r: str) -> str:
+    plain = f"CASE WHEN {r}.__typename = 'Tweet' THEN {_candidate(r)} END"
+    return f"{plain}, {_candidate(f'{r}.tweet')}"
 
 
 def _resolve_result(r: str, strict: bool) -> str:
-    """Struct (status, post, quote) of a non-null post union."""
-    quotes = (
-        f"transform(array(CASE WHEN {r}.__typename = 'Tweet' THEN {r}.quoted_status_result.result END, "
-        f"{r}.tweet.quoted_status_result.result), q -> {_resolve_quote('q', strict)})"
+    """Struct (status, post, quote) of a non-null post union.
+
+    The plain post, the wrapped post and the posts each of them quotes are put
+    in one array, so the validity rule stands in the plan once.
+    """
+    quoted = (f"{r}.quoted_status_result.result", f"{r}.tweet.quoted_status_result.result")
+    every = f"array({', '.join(_candidates(x) for x in (r, *quoted))})"
+    quote_outcomes = ", ".join(
+        f"CASE WHEN {q} IS NOT NULL THEN {_outcome(q, f'ok[{i}]', f'ok[{i + 1}]')} END"
+        for q, i in zip(quoted, (2, 4))
     )
-    ok = (
-        f"transform(pc, (c, i) -> {valid('c', model.POST, strict)} "
-        "AND coalesce(pq[i].status <> 'invalid', true))"
+    outcome = _outcome(
+        r,
+        "(ok[0] AND coalesce(qo[0] <> 'invalid', true))",
+        "(ok[1] AND coalesce(qo[1] <> 'invalid', true))",
     )
     chosen = "CASE po WHEN 'plain' THEN 0 WHEN 'wrapped' THEN 1 END"
+    lean = let("p", "get(cs, ix)", f"CASE WHEN p IS NOT NULL THEN {_lean_post('p', strict)} END")
+    lean_quote = let(
+        "p",
+        "get(cs, 2 + 2 * ix + CASE get(qo, ix) WHEN 'plain' THEN 0 WHEN 'wrapped' THEN 1 END)",
+        f"CASE WHEN p IS NOT NULL THEN {_lean_post('p', strict, quoted=True)} END",
+    )
     body = (
         "named_struct('status', CASE WHEN po IN ('plain', 'wrapped') THEN 'post' ELSE po END, "
-        f"'post', {let('p', f'get(pc, {chosen})', 'CASE WHEN p IS NOT NULL THEN ' + _lean_post('p', strict) + ' END')}, "
-        f"'quote', get(pq, {chosen}))"
+        f"'post', {lean}, 'quote', CASE WHEN get(qo, ix) IS NOT NULL THEN "
+        f"named_struct('status', get(qo, ix), 'post', {lean_quote}) END)"
     )
     return let(
-        "pc",
-        _plain_and_wrapped(r),
-        let("pq", quotes, let("pok", ok, let("po", _outcome(r, "pok[0]", "pok[1]"), body))),
+        "cs",
+        every,
+        let(
+            "ok",
+            f"transform(cs, c -> {valid('c', model.POST, strict)})",
+            let("qo", f"array({quote_outcomes})", let("po", outcome, let("ix", chosen, body))),
+        ),
     )
 
 
@@ -266,10 +272,6 @@ def _resolved_sql(keep: tuple[str, ...], strict: bool, whole: bool, extraction:
     )
     no_main = "NOT exists(slots, s -> s.role = 'main')" if whole and extraction else "false"
     breaks = breaks if extraction else "false"
-    stage = (
-        "CASE WHEN NOT shape_ok OR exists(slots, s -> s.status = 'invalid') THEN 'validate' "
-        f"WHEN {no_main} OR {breaks} THEN 'extract' END"
-    )
     reason = (
         "CASE WHEN d." + model.ROOT_KEY + ".instructions IS NULL THEN 'unreadable document' "
         "WHEN NOT shape_ok THEN 'record shape' "
@@ -278,6 +280,10 @@ def _resolved_sql(keep: tuple[str, ...], strict: bool, whole: bool, extraction:
         f"WHEN {breaks} THEN 'broken span or video' END"
     )
     shape = valid(f"d.{model.ROOT_KEY}.instructions", model.INSTRUCTIONS, strict)
+    verdict = (
+        "CASE WHEN reason IN ('no main post', 'broken span or video') THEN 'extract' "
+        "WHEN reason IS NOT NULL THEN 'validate' END"
+    )
     body = let(
         "shape_ok",
         shape,
@@ -285,10 +291,10 @@ def _resolved_sql(keep: tuple[str, ...], strict: bool, whole: bool, extraction:
             "slots",
             f"transform({_slots('d', strict)}, s -> {_resolve_slot('s', strict)})",
             let(
-                "stage",
-                stage,
-                f"named_struct('stage', stage, 'reason', CASE WHEN stage IS NOT NULL THEN {reason} END, "
-                f"'slots', CASE WHEN stage IS NULL THEN {kept} END)",
+                "reason",
+                reason,
+                f"named_struct('stage', {verdict}, 'reason', reason, "
+                f"'slots', CASE WHEN reason IS NULL THEN {kept} END)",
             ),
         ),
     )
@@ -329,21 +335,26 @@ def failures(resolved: DataFrame) -> DataFrame:
     )
 
 
-def settle_parts(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+def settle_parts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply the whole-conversation rules to documents cut into parts.
 
-    One bad part fails its conversation, a conversation needs a main post, and
-    only the main post of the last part that has one counts. Returns
-    ``(good, failures)``. The verdict is aggregated from three narrow columns
-    with a map-side combine; the documents themselves are joined to it by id,
-    where a conversation with very many parts can be split by AQE. Pass a
-    written table, since both results read it.
+    ``documents(conv_id, part, stage, reason, main_tweet, ..)``: extracted
+    parts. One bad part fails its conversation, a conversation needs a main
+    post, and only the main post of the last part that has one counts. Returns
+    ``(good, failures)``.
+
+    The verdict is aggregated from narrow columns with a map-side combine. The
+    documents only meet the two exception lists (failed conversations, those
+    with main posts in several parts), which are short in practice, so AQE can
+    broadcast them when their measured size allows. Both results read the
+    input: pass a written table.
     """
-    has_main = F.exists("slots", lambda s: s["role"] == "main")
-    verdict = resolved.groupBy("conv_id").agg(
+    has_main = F.col("main_tweet").isNotNull()
+    verdict = documents.groupBy("conv_id").agg(
         F.min_by("stage", F.when(F.col("stage").isNotNull(), F.col("part"))).alias("bad_stage"),
         F.min_by("reason", F.when(F.col("stage").isNotNull(), F.col("part"))).alias("bad_reason"),
         F.max(F.when(has_main, F.col("part"))).alias("main_part"),
+        F.count_if(has_main).alias("mains"),
     )
     bad = F.col("bad_stage").isNotNull() | F.col("main_part").isNull()
     failed = verdict.where(bad).select(
@@ -351,21 +362,16 @@ def settle_parts(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("bad_stage", F.lit("extract")).alias("stage"),
         F.coalesce("bad_reason", F.lit("no main post")).alias("reason"),
     )
-    demoted = F.transform(
-        "slots",
-        lambda s: F.when(s["role"] == "main", s.withField("role", F.lit("ancestor"))).otherwise(s),
-    )
+    several = verdict.where(F.col("mains") > 1).select("conv_id", "main_part")
     good = (
-        resolved.join(verdict.where(~bad).select("conv_id", "main_part"), "conv_id")
+        documents.where(F.col("stage").isNull())
+        .join(failed.select("conv_id"), "conv_id", "left_anti")
+        .join(several, "conv_id", "left")
         .withColumn(
-            "slots",
-            F.filter(
-                F.when(F.col("part") == F.col("main_part"), F.col("slots")).otherwise(demoted),
-                lambda s: s["role"] != "ancestor",
-            ),
+            "main_tweet",
+            F.when(F.coalesce(F.col("part") == F.col("main_part"), F.lit(True)), F.col("main_tweet")),
         )
-        .drop("main_part")
-        .select(*resolved.columns)
+        .drop("main_part", "stage", "reason")
     )
     return good, failed
 

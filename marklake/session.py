@@ -18,6 +18,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "64m",
+    # Python call sites are not recorded per expression: the plans here hold
+    # thousands of expressions and recording doubles the time to build them.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
