@@ -80,7 +80,9 @@ def assemble_conversations(
         F.max_by(F.struct(*fields), F.when(is_main, F.col("pos"))).alias("main_tweet"),
         F.max(F.when(is_main, F.struct(*keys[1:], F.col("pos")))).alias("main_at"),
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("role") == "reply", row))),
+            F.array_sort(
+                F.collect_list(F.when(F.col("role") == "reply", row)), lambda a, b: a["pos"] - b["pos"]
+            ),
             lambda r: r["post"],
         ).alias("replies"),
     )

@@ -211,14 +211,22 @@ def document(entries_json: Column) -> Column:
     )
 
 
-def join_entries(rows: DataFrame, key: str, order: str | list[str], entry_json: Column) -> DataFrame:
-    """One raw document per key: ``conv_id, raw``."""
-    order = [order] if isinstance(order, str) else order
-    ordered = F.array_sort(F.collect_list(F.struct(*order, entry_json.alias("entry"))))
+ENTRIES_PER_PART = 64
+
+
+def join_entries(rows: DataFrame, key: str, order: str, entry_json: Column) -> DataFrame:
+    """Raw documents of the rows of each key: ``conv_id, part, raw``.
+
+    ``order`` is a whole number. A part takes the rows of one block of 64
+    numbers, so a key with very many rows becomes many documents of bounded
+    size instead of one that has to be built by a single task.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(order, entry_json.alias("entry"))))
+    part = F.expr(f"cast({order} div {ENTRIES_PER_PART} as int)").alias("part")
     return (
-        rows.groupBy(F.col(key).cast("string").alias("conv_id"))
+        rows.groupBy(F.col(key).cast("string").alias("conv_id"), part)
         .agg(F.transform(ordered, lambda e: e["entry"]).alias("entries"))
-        .select("conv_id", document(F.array_join("entries", ",")).alias("raw"))
+        .select("conv_id", "part", document(F.array_join("entries", ",")).alias("raw"))
     )
 
 
