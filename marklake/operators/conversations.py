@@ -65,7 +65,9 @@ def assemble_conversations(
     A document holds at most ``posts_per_document`` posts: ``doc_no`` is 0 for
     all but very long threads, whose later posts follow in documents 1, 2, ...
     The main post (the last main row) stands in the document it falls into.
-    Conversations without a main post go to the failures.
+    Conversations without a main post go to the failures. Pass a written table:
+    the posts are read once for the documents and once, three columns only, for
+    the place of the last main post.
     """
     keys = key_columns(posts)
     fields = [c for c in posts.columns if c not in (*keys, *POSITION_COLUMNS)]

@@ -62,17 +62,17 @@ def find_pending(ids: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def pending_stats(ids: DataFrame, ledger: DataFrame) -> DataFrame:
     """One row: distinct saved ids, whole-ledger count, ids still pending."""
-    saved = distinct_ids(ids)
-    flagged = saved.join(
-        ledger.select("tweet_id", F.lit(True).alias("done")).distinct(), "tweet_id", "left"
+    # One aggregate over both lists; repeats shrink before the shuffle.
+    both = ids.select("tweet_id", F.lit(1).alias("saved"), F.lit(0).alias("done")).unionByName(
+        ledger.select("tweet_id", F.lit(0).alias("saved"), F.lit(1).alias("done"))
     )
-    counts = flagged.agg(
-        F.count("*").alias("total_tweets"),
-        F.count_if(F.col("done").isNull()).alias("pending_tweets"),
+    per_id = both.groupBy("tweet_id").agg(
+        F.max("saved").alias("saved"), F.sum("done").alias("done")
     )
-    # Both sides are one aggregated row, so this join cannot grow.
-    return counts.crossJoin(ledger_count(ledger).withColumnRenamed("n", "processed_tweets")).select(
-        "total_tweets", "processed_tweets", "pending_tweets"
+    return per_id.agg(
+        F.count_if(F.col("saved") == 1).alias("total_tweets"),
+        F.coalesce(F.sum("done"), F.lit(0)).alias("processed_tweets"),
+        F.count_if((F.col("saved") == 1) & (F.col("done") == 0)).alias("pending_tweets"),
     )
 
 

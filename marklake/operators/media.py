@@ -215,8 +215,11 @@ def stored_locations(
     spread = stored.join(sizes, "tweet_id").withColumn(
         "list_no", F.pmod(F.xxhash64("at", "location"), F.col("lists")).cast("int")
     )
+    # The explicit exchange lets AQE split a post that fills a join partition, and
+    # spreads its lists: by itself the grouping would keep the join's partitions.
     return (
-        spread.groupBy("tweet_id", "list_no")
+        spread.repartition("tweet_id", "list_no")
+        .groupBy("tweet_id", "list_no")
         .agg(F.array_sort(F.collect_list(F.struct("at", "location"))).alias("found"))
         .select("tweet_id", "list_no", F.transform("found", lambda f: f["location"]).alias("locations"))
     )

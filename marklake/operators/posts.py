@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,15 +182,28 @@ def posts_from_resolved(
 ) -> DataFrame:
     """Explode resolved documents and extract one row per post."""
     slots = explode_slots(resolved).where(F.col("role").isin("main", "reply"))
-    slot = {"post": F.col("post"), "status": F.col("status"), "quote": F.col("quote")}
-    keys = key_columns(resolved)
     return slots.select(
-        *keys,
-        *POSITION_COLUMNS,
-        *[c.alias(n) for n, c in post_columns(slot, mode, compat_hashtags).items()],
+        *key_columns(resolved), *POSITION_COLUMNS, *_row_columns(mode, compat_hashtags)
     )
 
 
+_built: dict[tuple, tuple] = {}
+
+
+def _row_columns(mode: str, compat_hashtags: bool) -> list[Column]:
+    """Post columns over ``post, status, quote``, built once per JVM.
+
+    They hold about two thousand expressions, each of them a call to the JVM.
+    """
+    gateway = SparkContext._gateway
+    key = (mode, compat_hashtags)
+    if key not in _built or _built[key][0] is not gateway:
+        slot = {name: F.col(name) for name in ("post", "status", "quote")}
+        columns = [c.alias(n) for n, c in post_columns(slot, mode, compat_hashtags).items()]
+        _built[key] = (gateway, columns)
+    return _built[key][1]
+
+
 def extract_posts(
     conversations: DataFrame,
     mode: str = KEEP,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marklake.functions.scalars import bookmark_label, status_url, webkit_date, whole_seconds
 from marklake.functions.text import REMOVE, REPLACE, strip, trim_trailing_urls
 from marklake.operators import captures, conversations, ids, posts, transcript, validate
-from workload.registry import query
+from workload.registry import query, written
 from workload.shapes import (
     CURSOR_ITEM,
     document,
@@ -196,9 +196,8 @@ def two_mains(spark, sf_dir):
         F.when(F.col("turn") % 2 == 1, module_entry(F.concat(F.lit("conversationthread-"), turn_id()), body)),
         entry(F.concat(F.lit("tweet-"), turn_id()), body),
     )
-    documents, _ = conversations.assemble_conversations(
-        posts.extract_posts(join_entries(rows, "conv_id", "turn", every))
-    )
+    found = posts.extract_posts(join_entries(rows, "conv_id", "turn", every))
+    documents, _ = conversations.assemble_conversations(written(found, "posts"))
     return documents.groupBy("conv_id").agg(
         F.max("main_tweet.text").alias("main_text"),
         F.sum(F.size("replies")).cast("bigint").alias("n_replies"),
@@ -226,7 +225,8 @@ def conversation_documents(spark, sf_dir):
        FROM conversations GROUP BY conv_id""",
 )
 def assembled_documents(spark, sf_dir):
-    documents, _ = conversations.assemble_conversations(posts.extract_posts(_thread(spark, sf_dir)))
+    found = posts.extract_posts(_thread(spark, sf_dir))
+    documents, _ = conversations.assemble_conversations(written(found, "posts"))
     texts = F.array_join(F.transform("replies", lambda r: r["text"]), "|")
     return documents.select(
         "conv_id", F.col("main_tweet.text").alias("main_text"), F.when(texts != "", texts).alias("reply_texts")
@@ -314,9 +314,6 @@ for _mode, _tail in (("keep", _LINK), (REPLACE, "https://x.com/p/1"), (REMOVE, "
     )(_media_text(_mode))
 
 
-_BLANKS = "chr(9) || chr(10) || chr(32) || chr(160) || chr(8195) || chr(12288)"
-
-
 @query(
     "text_functions",
     """SELECT conv_id || '_' || turn AS id, text AS stripped, text AS trimmed,

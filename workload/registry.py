@@ -31,3 +31,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return os.path.join(tempfile.mkdtemp(prefix="marklake-"), name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table on disk, for operators that read their input more than once."""
+    path = f"{work_dir(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -232,7 +232,12 @@ def _local_sink(key: str, data: bytes) -> str:
 )
 def fetch_media(spark, sf_dir):
     fetched = fetch.fetch_media(
-        _event_manifest(spark, sf_dir), _local_fetch, _local_sink, max_retries=2, retry_delay=0.0
+        _event_manifest(spark, sf_dir),
+        _local_fetch,
+        _local_sink,
+        max_retries=2,
+        retry_delay=0.0,
+        partitions=spark.sparkContext.defaultParallelism,
     )
     return fetched.withColumn("attempts", F.col("attempts").cast("bigint"))
 
