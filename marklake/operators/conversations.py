@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marklake.functions.reuse import once_per_jvm
 from marklake.functions.text import KEEP
 from marklake.operators.documents import key_columns, resolve_documents
 from marklake.operators.media import post_media
@@ -24,15 +25,23 @@ def conversations_from_resolved(
     Documents that failed keep their row with null content.
     """
     media_flags.setdefault("video_length_limit", None)
-    posts = F.transform(
-        "slots",
-        lambda s: F.struct(s["role"].alias("role"), post_struct(s, mode, compat_hashtags).alias("post")),
-    )
-    if with_media:
+
+    def build_posts() -> Column:
         posts = F.transform(
+            "slots",
+            lambda s: F.struct(
+                s["role"].alias("role"), post_struct(s, mode, compat_hashtags).alias("post")
+            ),
+        )
+        if not with_media:
+            return posts
+        return F.transform(
             posts,
             lambda p: p.withField("post.extracted_media", post_media(p["post"], **media_flags)),
         )
+
+    flags = tuple(sorted(media_flags.items()))
+    posts = once_per_jvm(("slot posts", mode, compat_hashtags, with_media, flags), build_posts)
     keys = key_columns(resolved)
     built = resolved.select(*keys, "stage", "reason", posts.alias("posts"))
     main = F.get(F.filter("posts", lambda p: p["role"] == "main"), F.lit(0))

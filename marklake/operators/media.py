@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marklake.functions.reuse import once_per_jvm
 from marklake.functions.scalars import (
     DEFAULT_CONTENT_TYPE,
     content_type,
@@ -136,12 +137,19 @@ def post_media(
 _POST_FIELDS = ("id", "media", "card", "quoted_tweet", "article_media")
 
 
+def _row_media(limit: int | None, flags: dict) -> Column:
+    """Media array over the columns of a post row."""
+    return once_per_jvm(
+        ("row media", limit, tuple(sorted(flags.items()))),
+        lambda: post_media(
+            {name: F.col(name) for name in _POST_FIELDS}, video_length_limit=limit, **flags
+        ),
+    )
+
+
 def attach_media(posts: DataFrame, *, video_length_limit: int | None = None, **flags) -> DataFrame:
     """Posts with their media as an ``extracted_media`` array; no length limit by default."""
-    post = {name: F.col(name) for name in _POST_FIELDS}
-    return posts.withColumn(
-        "extracted_media", post_media(post, video_length_limit=video_length_limit, **flags)
-    )
+    return posts.withColumn("extracted_media", _row_media(video_length_limit, flags))
 
 
 def media_candidates(
@@ -149,8 +157,7 @@ def media_candidates(
 ) -> DataFrame:
     """One row per downloadable media item of ``posts``, with its post and place in it."""
     keys = [c for c in ("conv_id", "part", "pos") if c in posts.columns]
-    post = {name: F.col(name) for name in _POST_FIELDS}
-    found = post_media(post, video_length_limit=video_length_limit, **flags)
+    found = _row_media(video_length_limit, flags)
     return (
         posts.select(*keys, F.posexplode_outer(found).alias("media_pos", "item"))
         .where(F.col("media_pos").isNotNull())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marklake.functions.reuse import once_per_jvm
 from marklake.functions.scalars import created_timestamp, float_seconds
 from marklake.functions.text import KEEP, expand_urls, handle_media_urls, strip
 from marklake.operators.articles import render_article
@@ -187,21 +187,14 @@ def posts_from_resolved(
     )
 
 
-_built: dict[tuple, tuple] = {}
-
-
 def _row_columns(mode: str, compat_hashtags: bool) -> list[Column]:
-    """Post columns over ``post, status, quote``, built once per JVM.
+    """Post columns over columns named ``post, status, quote``."""
 
-    They hold about two thousand expressions, each of them a call to the JVM.
-    """
-    gateway = SparkContext._gateway
-    key = (mode, compat_hashtags)
-    if key not in _built or _built[key][0] is not gateway:
+    def build() -> list[Column]:
         slot = {name: F.col(name) for name in ("post", "status", "quote")}
-        columns = [c.alias(n) for n, c in post_columns(slot, mode, compat_hashtags).items()]
-        _built[key] = (gateway, columns)
-    return _built[key][1]
+        return [c.alias(n) for n, c in post_columns(slot, mode, compat_hashtags).items()]
+
+    return once_per_jvm(("post columns", mode, compat_hashtags), build)
 
 
 def extract_posts(

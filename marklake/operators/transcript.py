@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marklake.functions.reuse import once_per_jvm
 from marklake.functions.text import strip, trim_trailing_urls
 from marklake.operators.documents import key_columns, main_slot, resolve_documents
 from marklake.operators.posts import NO_USER, PLACEHOLDERS
@@ -49,6 +50,13 @@ def render_transcript(conversations: DataFrame, *, strict: bool = False) -> Data
     resolved = resolve_documents(
         conversations, strict=strict, keep=("main", "reply", "cursor"), extraction=False
     )
+    return resolved.where(F.col("stage").isNull()).select(
+        *key_columns(resolved), once_per_jvm("transcript", _transcript).alias("transcript")
+    )
+
+
+def _transcript() -> Column:
+    """Text of the array column ``slots``."""
 
     def main_lines(slot: Column) -> Column:
         text, user = _said(slot)
@@ -68,14 +76,12 @@ def render_transcript(conversations: DataFrame, *, strict: bool = False) -> Data
         F.size(replies) > 0,
         F.concat(F.array(F.lit("\nReplies:")), F.flatten(F.transform(replies, reply_lines))),
     ).otherwise(none)
-    lines = F.concat(head, tail)
-    text = F.get(
+    return F.get(
         F.transform(
-            F.array(lines),
-            lambda ls: F.when(F.size(ls) > 0, F.array_join(ls, "\n")).otherwise(F.lit(EMPTY_THREAD)),
+            F.array(F.concat(head, tail)),
+            lambda lines: F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(
+                F.lit(EMPTY_THREAD)
+            ),
         ),
         F.lit(0),
     )
-    return resolved.where(F.col("stage").isNull()).select(
-        *key_columns(resolved), text.alias("transcript")
-    )
