@@ -12,6 +12,7 @@ from marklake.operators.attempts import batch_summary
 from marklake.operators.conversations import conversations_from_resolved
 from marklake.operators.documents import resolve_documents
 from marklake.operators.ids import skip_processed
+from marklake.sinks.tables import write_conversations
 from marklake.sources.files import _exists
 
 
@@ -60,9 +61,7 @@ def extract_batch(
     ok = F.col("stage").isNull()
     documents = written.where(ok).select("conv_id", "main_tweet", "replies")
     failures = written.where(~ok).select("conv_id", "stage", "reason")
-    documents.write.mode("overwrite").option("ignoreNullFields", False).json(
-        f"{output}/documents/run={run_id}"
-    )
+    write_conversations(documents, f"{output}/documents/run={run_id}")
     failures.write.mode("overwrite").parquet(f"{output}/failures/run={run_id}")
     attempts = written.select(F.col("conv_id").alias("tweet_id"), ok.alias("ok"))
     return BatchResult(documents, failures, batch_summary(attempts))

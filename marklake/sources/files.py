@@ -38,7 +38,8 @@ def read_conversations(spark: SparkSession, path: str, format: str = "files") ->
     """
     if format == "files":
         files = _whole_files(spark, path, pathGlobFilter="*.json", recursiveFileLookup=False)
-        name = F.url_decode(F.substring_index("file", "/", -1))
+        # The path is a URI, in which a plus sign stands for itself.
+        name = F.url_decode(F.replace(F.substring_index("file", "/", -1), F.lit("+"), F.lit("%2B")))
         return files.select(
             F.regexp_replace(name, r"\.json$", "").alias("conv_id"), F.col("value").alias("raw")
         )
@@ -55,9 +56,14 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_id_list(spark: SparkSession, path: str, as_integers: bool = False) -> DataFrame:
-    """Distinct ids of JSON array files; ``as_integers`` casts them, failing on other text."""
+    """Distinct ids of JSON array files; ``as_integers`` casts them, failing on other text.
+
+    A file that is not JSON is an error, unlike an unreadable document: the
+    list decides what a run works on.
+    """
     files = _whole_files(spark, path)
-    ids = files.select(F.explode(F.from_json("value", "array<string>")).alias("tweet_id"))
+    parsed = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
+    ids = files.select(F.explode(parsed).alias("tweet_id"))
     if as_integers:
         ids = ids.select(F.col("tweet_id").cast("bigint").alias("tweet_id"))
     return ids.distinct()

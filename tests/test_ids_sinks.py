@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marklake.operators import attempts, bookmark_tree, captures, ids
+from marklake.plans.browser import browser_bookmarks
 from marklake.sinks import tables
 from marklake.sources import files
 from payloads import document, main, post, reply
@@ -43,6 +44,10 @@ def test_id_list_and_ledger(spark, tmp_path):
     assert sorted(r.tweet_id for r in files.read_id_list(spark, str(tmp_path / "ids.json"), True).collect()) == [2, 9, 10]
     assert [r.tweet_id for r in ids.ordered_ids(listed).collect()] == ["10", "2", "9"]
 
+    (tmp_path / "bad.json").write_text('["10", ')
+    with pytest.raises(Exception, match="[Mm]alformed"):
+        files.read_id_list(spark, str(tmp_path / "bad.json")).collect()
+
     path = str(tmp_path / "ledger")
     assert files.read_ledger(spark, path).count() == 0
     now = datetime(2024, 1, 2, 3, 4, 5)
@@ -177,6 +182,9 @@ def test_bookmark_tree(spark, tmp_path):
     assert {str(r.date_added) for r in rows} == {"2024-01-17"} and len(rows[2].folder_path) == 31
     assert sorted(r.file.split("/")[-2] for r in failed.collect()) == ["P1", "P2", "P3"]
     assert [r.name for r in bookmark_tree.preview(good, 2).collect()] == ["one", "two"]
+    assert browser_bookmarks(spark, str(tmp_path), "chrome")[0].count() == 5
+    with pytest.raises(ValueError):
+        browser_bookmarks(spark, str(tmp_path / "P2"), "edge")
     with pytest.raises(ValueError):
         files.read_browser_bookmarks(spark, str(tmp_path), "netscape")
     with pytest.raises(ValueError):

@@ -97,16 +97,18 @@ def test_ingest_uses_saved_pending_list(spark, tmp_path):
 def test_ingest_of_conversations_in_parts(spark, tmp_path):
     rows = [("a", n, document(main(post(str(n), f"main {n}")), reply(post(f"r{n}", f"reply {n}")))) for n in (0, 1, 130)]
     rows += [("b", 0, GOOD), ("b", 100, BAD), ("c", 0, document(reply(post()))), ("c", 100, document(main(post("5"))))]
-    rows += [("d", 0, document(reply(post())))]
+    rows += [("d", 0, document(reply(post()))), ("e", 0, GOOD), ("f", 0, BAD)]
     found = run_ingest(spark, None, captures(spark, *rows), str(tmp_path / "s"), run_id="1")
     docs = {(r.conv_id, r.part): r for r in found.documents.collect()}
     # One bad part fails "b"; "d" has no main post; the last main post of "a" counts.
-    assert set(docs) == {("a", 0), ("a", 2), ("c", 0), ("c", 1)}
+    assert set(docs) == {("a", 0), ("a", 2), ("c", 0), ("c", 1), ("e", 0)}
     assert docs["a", 0].main_tweet is None and docs["a", 2].main_tweet.text == "main 130"
     assert [r.text for r in docs["a", 0].replies] == ["reply 0", "reply 1"]
     assert docs["c", 0].main_tweet is None and docs["c", 1].main_tweet.id == "5"
-    assert {(r.conv_id, r.reason) for r in found.failures.collect()} == {("b", "invalid post"), ("d", "no main post")}
-    assert sorted(r.tweet_id for r in found.processed.collect()) == ["a", "c"]
+    assert {(r.conv_id, r.reason) for r in found.failures.collect()} == {
+        ("b", "invalid post"), ("d", "no main post"), ("f", "invalid post")}
+    assert sorted(r.tweet_id for r in found.processed.collect()) == ["a", "c", "e"]
+    assert latest_documents(spark, str(tmp_path / "s")).count() == 5
 
 
 def test_stream(spark, tmp_path):
