@@ -35,23 +35,10 @@ def _pages(spark, sf_dir, entry_id):
     """One export page per user and block of 100 events."""
     events = table(spark, sf_dir, "events")
     entries = F.array_sort(F.collect_list(F.struct("event_id", entry_id.alias("entryId"))))
-    page = obj(
-        data={
-            "bookmark_timeline_v2": {
-                "timeline": {
-                    "instructions": F.array(
-                        F.struct(
-                            F.transform(entries, lambda e: F.struct(e["entryId"].alias("entryId"))).alias(
-                                "entries"
-                            )
-                        )
-                    )
-                }
-            }
-        }
-    )
+    listed = F.transform(entries, lambda e: F.struct(e["entryId"].alias("entryId")))
+    page = obj(data={"bookmark_timeline_v2": {"timeline": {"instructions": [{"entries": listed}]}}})
     block = F.expr("event_id div 100").alias("page_no")
-    return events.groupBy("user_id", block).agg(F.to_json(page).alias("raw"))
+    return events.groupBy("user_id", block).agg(json(page).alias("raw"))
 
 
 def _entry_id():
@@ -279,7 +266,7 @@ def url_expansion(spark, sf_dir):
         F.expr("substring(text, cast(length(text) div 2 as int) + 1)"),
         F.lit(f" {_LINK}"),
     )
-    links = F.array(
+    links = [
         url(_LINK, F.concat(F.lit(_LONG), F.col("turn").cast("string")), half, half + len(_LINK)),
         url(
             _LINK,
@@ -287,7 +274,7 @@ def url_expansion(spark, sf_dir):
             F.length("text") + len(_LINK) + 1,
             F.length("text") + 2 * len(_LINK) + 1,
         ),
-    )
+    ]
     rows = table(spark, sf_dir, "conversations")
     result = json(turn_post(text, entities_=entities(urls=links)))
     return posts.extract_posts(single(rows, turn_id(), result)).select("id", "text")
@@ -300,7 +287,7 @@ def _media_text(mode):
         start = F.length("text") + 1
         photo = media("m", "photo", "https://x.com/p/1", "https://img/1.jpg", start, start + len(_LINK))
         text = F.concat("text", F.lit(f" {_LINK}"))
-        result = json(turn_post(text, entities_=entities(media=F.array(photo))))
+        result = json(turn_post(text, entities_=entities(media=[photo])))
         docs = single(table(spark, sf_dir, "conversations"), turn_id(), result)
         return posts.extract_posts(docs, mode).select("id", "text")
 
@@ -425,11 +412,9 @@ def entity_lists(spark, sf_dir):
         spark,
         sf_dir,
         entities_=entities(
-            urls=F.array(link("event_id"), link("user_id")),
-            mentions=F.array(
-                mention(F.concat(F.lit("u"), F.col("user_id").cast("string"))), mention(F.lit("admin"))
-            ),
-            hashtags=F.array(F.struct(F.col("event_type").alias("text"))),
+            urls=[link("event_id"), link("user_id")],
+            mentions=[mention(F.concat(F.lit("u"), F.col("user_id").cast("string"))), mention("admin")],
+            hashtags=[{"text": F.col("event_type")}],
         ),
     )
     return found.select("id", *[F.array_join(c, "|").alias(c) for c in ("urls", "mentions", "hashtags")])

@@ -7,12 +7,11 @@ fields are there because a record without them would not be valid.
 
 from __future__ import annotations
 
+from json import dumps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEEP_NULLS = {"ignoreNullFields": "false"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,22 +27,51 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
-def obj(**fields) -> Column:
-    """A JSON object; plain values become literals, nested Python dicts are allowed."""
-    return F.struct(*[_lit(v).alias(k) for k, v in fields.items()])
+def obj(**fields) -> dict:
+    """A JSON object; its values are columns, plain values, or again objects and lists."""
+    return fields
 
 
 def _lit(value) -> Column:
-    if isinstance(value, Column):
-        return value
-    if isinstance(value, dict):
-        return obj(**value) if value else F.expr("cast(map() as map<string,string>)")
-    if isinstance(value, list):
-        return F.array(*[_lit(v) for v in value]) if value else F.expr("cast(array() as array<string>)")
-    return F.lit(value)
+    return value if isinstance(value, Column) else F.lit(value)
+
 
+def _leaf(value: Column) -> Column:
+    """JSON text of a column of any type."""
+    wrapped = F.to_json(F.struct(value.alias("v")))
+    text = F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("null"))
 
-def user(screen_name, name) -> Column:
+
+def _pieces(value) -> list[str | Column]:
+    if isinstance(value, Column):
+        return [_leaf(value)]
+    if isinstance(value, dict):
+        inner = [[dumps(k), ":", *_pieces(v)] for k, v in value.items()]
+        opening, closing = "{", "}"
+    elif isinstance(value, list):
+        inner = [_pieces(v) for v in value]
+        opening, closing = "[", "]"
+    else:
+        return [dumps(value)]
+    out: list[str | Column] = [opening]
+    for n, part in enumerate(inner):
+        out += [",", *part] if n else part
+    return [*out, closing]
+
+
+def json(value) -> Column:
+    """JSON text of a record: constant stretches are literals, only columns are converted."""
+    merged: list[str | Column] = []
+    for piece in _pieces(value):
+        if isinstance(piece, str) and merged and isinstance(merged[-1], str):
+            merged[-1] += piece
+        else:
+            merged.append(piece)
+    return F.concat(*[_lit(m) for m in merged])
+
+
+def user(screen_name, name) -> dict:
     return obj(
         user_results={
             "result": {
@@ -72,19 +100,19 @@ def user(screen_name, name) -> Column:
     )
 
 
-def span(start, end) -> Column:
-    return F.array(_lit(start).cast("int"), _lit(end).cast("int"))
+def span(start, end) -> list:
+    return [start, end]
 
 
-def url(short, expanded, start=0, end=0) -> Column:
+def url(short, expanded, start=0, end=0) -> dict:
     return obj(url=short, expanded_url=expanded, display_url=expanded, indices=span(start, end))
 
 
-def mention(screen_name) -> Column:
+def mention(screen_name) -> dict:
     return obj(id_str="1", name=screen_name, screen_name=screen_name, indices=span(0, 0))
 
 
-def media(id_str, kind, expanded, https, start=0, end=0, video_info=None) -> Column:
+def media(id_str, kind, expanded, https, start=0, end=0, video_info=None) -> dict:
     size = {"h": 1, "w": 1, "resize": "fit"}
     fields = dict(
         id_str=id_str,
@@ -104,7 +132,7 @@ def media(id_str, kind, expanded, https, start=0, end=0, video_info=None) -> Col
     return obj(**fields)
 
 
-def entities(urls=None, mentions=None, hashtags=None, media=None) -> Column:
+def entities(urls=None, mentions=None, hashtags=None, media=None) -> dict:
     fields = dict(
         urls=[] if urls is None else urls,
         user_mentions=[] if mentions is None else mentions,
@@ -129,7 +157,7 @@ def post(
     entities_=None,
     permalink=None,
     **extra,
-) -> Column:
+) -> dict:
     legacy = dict(
         created_at=created_at,
         conversation_id_str=rest_id,
@@ -163,10 +191,6 @@ def post(
     return obj(**fields)
 
 
-def json(col: Column) -> Column:
-    return F.to_json(col)
-
-
 def item(result_json: Column) -> Column:
     """JSON text of an itemContent around the JSON text of a post union (null: no result)."""
     return F.concat(
@@ -273,7 +297,7 @@ def turn_id() -> Column:
     return F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
 
 
-def turn_post(text: Column | None = None, **options) -> Column:
+def turn_post(text: Column | None = None, **options) -> dict:
     return post(
         turn_id(),
         F.col("text") if text is None else text,

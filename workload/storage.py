@@ -54,22 +54,16 @@ def _order_documents(spark, sf_dir):
     page = F.when(F.col("o_orderpriority") == "5-LOW", "https://x.com/same").otherwise(
         F.concat(F.lit("https://x.com/v2/"), key)
     )
-    items = F.array(
-        media(F.concat(F.lit("p"), key), "photo", "https://x.com/p", F.concat(F.lit("https://img/"), key, F.lit(".jpg")),
-              video_info=F.lit(None).cast(_VIDEO_DDL)),
-        media(F.concat(F.lit("v"), key), kind, F.lit("https://x.com/same"), F.lit("https://img/v.jpg"),
+    items = [
+        media(F.concat(F.lit("p"), key), "photo", "https://x.com/p", F.concat(F.lit("https://img/"), key, F.lit(".jpg"))),
+        media(F.concat(F.lit("v"), key), kind, "https://x.com/same", "https://img/v.jpg",
               video_info=_video_info(_millis())),
-        media(F.concat(F.lit("w"), key), F.lit("video"), page, F.lit("https://img/w.jpg"),
+        media(F.concat(F.lit("w"), key), "video", page, "https://img/w.jpg",
               video_info=_video_info(_millis() + 1000)),
-    )
+    ]
     return single(orders, key, json(post(key, F.col("o_orderpriority"), entities_=entities(media=items))))
 
 
-_VIDEO_DDL = (
-    "struct<aspect_ratio:array<int>,duration_millis:bigint,"
-    "variants:array<struct<content_type:string,url:string,bitrate:bigint>>>"
-)
-
 _BEST = """CASE WHEN greatest(o_custkey % 7, o_orderkey % 7) = 0 THEN 'https://v/low/'
                 WHEN o_custkey % 7 >= o_orderkey % 7 THEN 'https://v/a/' ELSE 'https://v/b/' END || o_orderkey"""
 
