@@ -21,6 +21,7 @@ from workload.shapes import (
     obj,
     post,
     single,
+    spread_table,
     table,
     thread,
     turn_id,
@@ -185,9 +186,10 @@ def two_mains(spark, sf_dir):
     )
     found = posts.extract_posts(join_entries(rows, "conv_id", "turn", every))
     documents, _ = conversations.assemble_conversations(written(found, "posts"))
-    return documents.groupBy("conv_id").agg(
-        F.max("main_tweet.text").alias("main_text"),
-        F.sum(F.size("replies")).cast("bigint").alias("n_replies"),
+    return documents.select(
+        "conv_id",
+        F.col("main_tweet.text").alias("main_text"),
+        F.size("replies").cast("bigint").alias("n_replies"),
     )
 
 
@@ -275,7 +277,7 @@ def url_expansion(spark, sf_dir):
             F.length("text") + 2 * len(_LINK) + 1,
         ),
     ]
-    rows = table(spark, sf_dir, "conversations")
+    rows = spread_table(spark, sf_dir, "conversations")
     result = json(turn_post(text, entities_=entities(urls=links)))
     return posts.extract_posts(single(rows, turn_id(), result)).select("id", "text")
 
@@ -288,7 +290,7 @@ def _media_text(mode):
         photo = media("m", "photo", "https://x.com/p/1", "https://img/1.jpg", start, start + len(_LINK))
         text = F.concat("text", F.lit(f" {_LINK}"))
         result = json(turn_post(text, entities_=entities(media=[photo])))
-        docs = single(table(spark, sf_dir, "conversations"), turn_id(), result)
+        docs = single(spread_table(spark, sf_dir, "conversations"), turn_id(), result)
         return posts.extract_posts(docs, mode).select("id", "text")
 
     return run
@@ -347,7 +349,7 @@ def scalar_functions(spark, sf_dir):
     "SELECT CAST(event_id AS VARCHAR) AS id, date_trunc('second', ts) AS created_ts FROM events",
 )
 def created_ts(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
+    events = spread_table(spark, sf_dir, "events")
     stamp = F.concat(
         F.date_format(F.col("ts").cast("timestamp"), "E").substr(1, 3),
         F.date_format(F.col("ts").cast("timestamp"), " MMM dd HH:mm:ss '+0000' yyyy"),
@@ -361,7 +363,7 @@ def created_ts(spark, sf_dir):
 
 
 def _event_posts(spark, sf_dir, **options):
-    events = table(spark, sf_dir, "events")
+    events = spread_table(spark, sf_dir, "events")
     key = F.col("event_id").cast("string")
     return posts.extract_posts(single(events, key, json(post(key, F.col("event_type"), **options))))
 
@@ -472,7 +474,7 @@ def _binding(key, text=None, image=None):
        UNION ALL SELECT CAST(p_partkey AS VARCHAR), NULL, NULL, NULL, NULL, NULL FROM part WHERE p_size = 7""",
 )
 def cards(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = spread_table(spark, sf_dir, "part")
     key = F.col("p_partkey").cast("string")
     image = F.struct(
         F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("https://img/"), key, F.lit(".png"))).alias("url"),
@@ -586,7 +588,7 @@ def articles(spark, sf_dir):
     key = F.col("doc_id").cast("string")
     own = json(post(key, "see article"))
     result = F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"article":'), body, F.lit("}"))
-    found = posts.extract_posts(single(table(spark, sf_dir, "documents"), key, result))
+    found = posts.extract_posts(single(spread_table(spark, sf_dir, "documents"), key, result))
     return found.select("id", "text")
 
 
@@ -608,7 +610,7 @@ def transcripts(spark, sf_dir):
 
 def _damaged(spark, sf_dir):
     """Orders as posts: F is whole, O lacks a field, P lacks it inside a wrapper."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
     whole = json(post(key, F.col("o_orderpriority")))
     lacking = F.replace(whole, F.lit('"source":"web",'), F.lit(""))

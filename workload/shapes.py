@@ -16,14 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when their file is too small to be split.
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table over all cores when its file is too small to be split.
 
     The payload text of a row is hundreds of times the row's own size, so a
     table that is one small file would keep a single core busy. A large table
     has enough splits and is left alone.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
@@ -267,7 +268,7 @@ def join_entries(rows: DataFrame, key: str, order: str, entry_json: Column) -> D
 
 def single(rows: DataFrame, conv_id: Column, result_json: Column) -> DataFrame:
     """One document per row that holds only its main post."""
-    return spread(rows).select(
+    return rows.select(
         conv_id.cast("string").alias("conv_id"),
         document(entry(F.concat(F.lit("tweet-"), conv_id.cast("string")), item(result_json))).alias("raw"),
     )

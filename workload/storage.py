@@ -12,7 +12,7 @@ from marklake.sinks import tables
 from marklake.streaming.ingest import capture_stream, ingest_stream
 from workload.core import capture_rows
 from workload.registry import query, work_dir
-from workload.shapes import entities, json, media, post, single, table
+from workload.shapes import entities, json, media, post, single, spread_table, table
 
 # --- media -----------------------------------------------------------------------
 
@@ -48,7 +48,7 @@ def _millis():
 
 def _order_documents(spark, sf_dir):
     """One post per order with a photo and a video (or animated picture)."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread_table(spark, sf_dir, "orders")
     key = _order_key()
     kind = F.when(F.col("o_orderstatus") == "F", "animated_gif").otherwise("video")
     page = F.when(F.col("o_orderpriority") == "5-LOW", "https://x.com/same").otherwise(
