@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marklake.llm import orderminhash, quality, sharding, substring
+from marklake.llm import orderminhash, packing, quality, sharding, substring, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +95,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     found = orderminhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counted = tokens.with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.cut_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
