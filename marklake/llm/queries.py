@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marklake.llm import chat, orderminhash, packing, quality, sharding, substring, tokens, topk, warc
+from marklake.llm import chat, mixing, orderminhash, packing, quality, sharding, substring, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +162,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every vector whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op7_entropy_balancing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
