@@ -72,17 +72,18 @@ def with_base(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     df = df.withColumn("_places", F.sort_array(F.transform(repeated, lambda x: x["i"])))
     covered = F.zip_with("_places", _shift(F.col("_places"), 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     n_repeat = F.coalesce(F.aggregate(covered, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")
-    df = df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": n_repeat,
-        }
-    )
+    found = {
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": n_repeat,
+    }
+    # A generator of one row: filters on the counts stay above it instead of being spelled out again below.
+    counts = F.inline(F.array(F.struct(*[c.alias(name) for name, c in found.items()])))
+    df = df.select(*[F.col(c) for c in docs.columns if c not in found], counts)
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_words", "_lines", "_one", "_two", "_four", "_eight", "_sorted", "_places")
+    return df.withColumn("base_failed", failed)
 
 
 def line_hash(line: Column) -> Column:
