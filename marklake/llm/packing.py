@@ -8,8 +8,7 @@ Pieces that fill a sequence are one by themselves. The others are dealt by row i
 group is packed in one task, whose memory that bounds, at the cost of about one partly filled sequence a group.
 
 Fixed results: a null text counts as empty and is the end token alone; repeated rows are packed once each; an empty
-table gives no piece. Extra columns are ignored. Texts are never cut before encoding: a unit, a space and what follows
-it to the next, has the same tokens wherever it stands, so that units are encoded once and kept, within a bound.
+table gives no piece. Extra columns are ignored. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -30,47 +29,56 @@ from marklake.storage import stage
 CAPACITY = 1024
 END = 2
 GROUP = 65_536
-CACHED_UNITS = 800_000
-LONG_UNIT = 64
-_UNSAFE = re.compile(r"\s \s")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+# The pattern that byte-level vocabularies of this kind split by (fixed).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The same without the look-ahead, for texts in which no two white-space characters meet: a much faster automaton.
+PLAIN_PATTERN = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
+_RUN = re.compile(r"\s\s")
+_PROBE = "It's 12 tests,\n\n  né  à\t.\U0001f600"
 
 
-class UnitEncoder:
-    """Token ids of a byte-level BPE in ``tokenizers`` format, as little-endian unsigned 32-bit numbers."""
+def _byte_names() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others for
+    those from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Encoder:
+    """Token ids of a byte-level BPE in ``tokenizers`` format, as little-endian unsigned 32-bit numbers.
+
+    Texts that hold a special token's string go through ``tokenizers``. All others are merged by ``tiktoken`` under the
+    ranks of the same vocabulary, which takes a fifth of the time for the same ids.
+    """
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._held: dict[str, bytes] = {}
+        self._special = sorted({t.content for t in self._tokenizer.get_added_tokens_decoder().values()})
+        names = _byte_names()
+        ranks = {bytes(names[c] for c in t): i for t, i in self._tokenizer.get_vocab().items() if t not in self._special}
+        self._merges = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._plain = tiktoken.Encoding("plain", pat_str=PLAIN_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if self._merged(_PROBE) != self._whole(_PROBE):
+            raise ValueError(f"{path} isn't a byte-level BPE of this pattern")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _merged(self, text: str) -> bytes:
+        merges = self._merges if _RUN.search(text) else self._plain
+        return merges.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
     def encode(self, text: str) -> bytes:
-        if not text or any(s in text for s in self._special):
-            return self._whole(text)
-        # A run of white space around a space is one match of the tokenizer's pattern: no cut there.
-        first, *rest = (_SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" "))
-        held = self._held
-        got = [self._whole(first), *map(held.get, rest)]
-        if None in got:
-            missing = [i for i, x in enumerate(got) if x is None]
-            found = self._tokenizer.encode_batch_fast([" " + rest[i - 1] for i in missing], add_special_tokens=False)
-            if len(held) + len(missing) > CACHED_UNITS:
-                held.clear()
-            for i, x in zip(missing, found, strict=True):
-                got[i] = np.array(x.ids, dtype="<u4").tobytes()
-                if len(rest[i - 1]) <= LONG_UNIT:
-                    held[rest[i - 1]] = got[i]
-        return b"".join(got)
+        return self._whole(text) if any(s in text for s in self._special) else self._merged(text)
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
