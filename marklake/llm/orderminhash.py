@@ -8,9 +8,11 @@ At a similarity of 0.8, where one of 16 sketches agrees with a probability of ab
 Candidates are verified by alignment of their k-mer sequences within a band: similarity = common / (all - common),
 with ``common`` the longest common subsequence. At 0.8 or more the texts are linked, and connected texts are a group.
 
-Equal texts are one node. Within equal sketches texts are linked through hubs, not in all pairs: two rounds align every
-text with a hub of its bucket; then texts of a bucket that still are in different groups are aligned with each other,
-whatever their number, so no link between groups is lost.
+Equal texts are one node. Within equal sketches texts are linked through a hub, not in all pairs: every text is aligned
+with the one of its bucket that shares the most sketches. Texts of a bucket that still are in different groups are then
+aligned with each other, whatever their number, so no link between groups is lost. Before any alignment, lengths and
+parity bits bound the similarity from above: each labelled k-mer flips one of 1,024 bits, so the bits in which two texts
+differ are at most the k-mers that only one of them has. That bound drops no pair of the similarity asked for.
 
 Fixed results: a null text counts as empty, and all empty texts are equal; a text of one to four words is a single
 k-mer; a row whose id is null is in no group (class null); rows that share an id but not the text keep the least id of
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklake.llm import words as W
@@ -35,7 +37,7 @@ K = 5
 SKETCHES = 16
 LENGTH = 3
 SIMILARITY = 0.8
-HUB_ROUNDS = 2
+PARITY_WORDS = 16
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -65,10 +67,14 @@ def _labelled(kmers: np.ndarray) -> np.ndarray:
     return np.where(seen > 0, W.mix(kmers + seen * np.uint64(0x9E3779B97F4A7C15)), kmers)
 
 
-def sketches(kmers: np.ndarray) -> np.ndarray:
-    if not len(kmers):
+def parity(labelled: np.ndarray) -> np.ndarray:
+    odd = np.bincount((labelled >> np.uint64(32)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches(labelled: np.ndarray) -> np.ndarray:
+    if not len(labelled):
         return np.empty(0, dtype=np.uint64)
-    labelled = _labelled(kmers)
     take = min(LENGTH, len(labelled))
     least = np.empty((SKETCHES, take), dtype=np.int64)
     for i, seed in enumerate(_SEEDS):
@@ -85,11 +91,12 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in W.chunks(batch["text"]):
-            kmers = _kmers(chunk)
+            kmers = [_labelled(k) for k in _kmers(chunk)]
             part = batch.slice(chunk.first, len(kmers))
             sizes = pa.array([len(k) for k in kmers], pa.int64())
             found = pa.array([sketches(k).view(np.int64) for k in kmers], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part["doc"], part["node"], sizes, found], ["doc", "node", "n", "keys"])
+            bits = pa.array([parity(k) for k in kmers], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part["doc"], part["node"], sizes, found, bits], ["doc", "node", "n", "keys", "bits"])
 
 
 def common_in_band(x: list[int], y: list[int], band: int) -> int:
@@ -169,11 +176,14 @@ def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     """The bucket members with their group so far (``root``)."""
     found = stage(components(links), "groups").withColumnRenamed("node", "g_node")
     joined = members.join(found, members["node"] == found["g_node"], "left")
-    return joined.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    return joined.select("key", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
 
 
-def _near_lengths(n: str, m: str):
-    return F.least(n, m) >= F.lit(SIMILARITY) * F.greatest(n, m)
+def _may_be_near(n: str, bits: str, m: str, other_bits: str) -> Column:
+    """Lengths and parity bits allow the similarity: common >= s / (1 + s) of both lengths together."""
+    apart = sum((F.bit_count(F.get(bits, i).bitwiseXOR(F.get(other_bits, i))) for i in range(1, PARITY_WORDS)), F.bit_count(F.get(bits, 0).bitwiseXOR(F.get(other_bits, 0))))
+    both = F.col(n) + F.col(m)
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (apart <= both * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
 
 
 NODE = "substring(unhex(sha2(coalesce({}, ''), 256)), 1, 16)"
@@ -189,18 +199,19 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     rows = rows.withColumn("node", F.expr(NODE.format("text")))
-    sketched = rows.select("doc", "node", "text").mapInArrow(_sketched, f"doc {kind}, node binary, n bigint, keys array<bigint>")
+    sketched = rows.select("doc", "node", "text").mapInArrow(_sketched, f"doc {kind}, node binary, n bigint, keys array<bigint>, bits array<bigint>")
     sketched = stage(sketched, "sketches")
-    nodes = sketched.where("doc IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-
-    # Buckets of two texts or more; the first hub of a bucket is its text with the least id.
-    members = nodes.select("node", "doc", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    hub = F.struct("doc", "node", "n")
-    buckets = members.groupBy("key").agg(F.min(hub).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    buckets = buckets.select(F.col("key").alias("h_key"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
-    members = members.join(buckets, members["key"] == buckets["h_key"]).select("key", "doc", "node", "n", "hub", "hub_n")
-    members = stage(members, "buckets")
-    pairs = members.where((F.col("node") != F.col("hub")) & _near_lengths("n", "hub_n"))
+    nodes = sketched.where("doc IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+
+    # Buckets of two texts or more. A text's weight is how many others its buckets hold; the heaviest is the hub.
+    members = nodes.select("node", "doc", "n", "bits", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "s_key")
+    members = stage(members.join(sizes, members["key"] == sizes["s_key"]).drop("s_key"), "buckets")
+    weights = members.groupBy("node").agg(F.sum("c").alias("weight")).withColumnRenamed("node", "w_node")
+    weighed = members.join(weights, members["node"] == weights["w_node"])
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "bits")).alias("hub")).withColumnRenamed("key", "h_key")
+    hubs = stage(hubs.select("h_key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.bits").alias("hub_bits")), "hubs")
+    pairs = members.join(hubs, (members["key"] == hubs["h_key"]) & (members["node"] != hubs["hub"]) & _may_be_near("n", "bits", "hub_n", "hub_bits"))
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     wanted = members.select(F.col("node").alias("w_node"), F.col("doc").alias("w_doc")).distinct()
@@ -208,20 +219,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     texts = stage(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
     tried = _verify(pairs, texts)
-    for _ in range(HUB_ROUNDS - 1):
-        # Another hub for the buckets that hold several groups: the least text outside the first hub's group.
-        grouped = stage(_grouped(members.select("key", "node", "n"), tried.where("linked").select("a", "b")), "members")
-        hubs = grouped.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.max(F.struct(F.xxhash64("node"), "node", "n", "root")).alias("h"))
-        hubs = hubs.where("r1 != r2").select(F.col("key").alias("h_key"), F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root"))
-        pairs = grouped.join(hubs, (grouped["key"] == hubs["h_key"]) & (grouped["root"] != hubs["hub_root"]) & _near_lengths("n", "hub_n"))
-        tried = stage(tried.union(_verify(_untried(pairs.select(F.col("node").alias("x"), F.col("hub").alias("y")), tried), texts)), "aligned")
     # Whatever still lies in one bucket but in different groups: the texts outside its largest group with all others.
-    grouped = stage(_grouped(members.select("key", "node", "n"), tried.where("linked").select("a", "b")), "members")
+    grouped = stage(_grouped(members.select("key", "node", "n", "bits"), tried.where("linked").select("a", "b")), "members")
     sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups"))
     sizes = sizes.where("groups > 1").select(F.col("key").alias("s_key"), F.col("top.root").alias("top"))
     minor = grouped.join(sizes, (grouped["key"] == sizes["s_key"]) & (grouped["root"] != sizes["top"]))
-    minor = minor.select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    apart = (grouped["key"] == minor["x_key"]) & (grouped["root"] != minor["x_root"]) & _near_lengths("n", "x_n")
+    minor = minor.select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"), F.col("root").alias("x_root"))
+    apart = (grouped["key"] == minor["x_key"]) & (grouped["root"] != minor["x_root"]) & _may_be_near("n", "bits", "x_n", "x_bits")
     pairs = minor.join(grouped, apart).select("x", F.col("node").alias("y"))
     tried = tried.union(_verify(_untried(pairs, tried), texts))
 
