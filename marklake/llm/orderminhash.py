@@ -176,7 +176,7 @@ def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     """The bucket members with their group so far (``root``)."""
     found = stage(components(links), "groups").withColumnRenamed("node", "g_node")
     joined = members.join(found, members["node"] == found["g_node"], "left")
-    return joined.select("key", "node", "n", "bits", F.coalesce("root", "node").alias("root"))
+    return joined.select("key", "node", "n", "bits", "keys", F.coalesce("root", "node").alias("root"))
 
 
 def _may_be_near(n: str, bits: str, m: str, other_bits: str) -> Column:
@@ -204,7 +204,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     nodes = sketched.where("doc IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
 
     # Buckets of two texts or more. A text's weight is how many others its buckets hold; the heaviest is the hub.
-    members = nodes.select("node", "doc", "n", "bits", F.explode(F.array_distinct("keys")).alias("key"))
+    members = nodes.select("node", "doc", "n", "bits", "keys", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "s_key")
     members = stage(members.join(sizes, members["key"] == sizes["s_key"]).drop("s_key"), "buckets")
     weights = members.groupBy("node").agg(F.sum("c").alias("weight")).withColumnRenamed("node", "w_node")
@@ -220,12 +220,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     tried = _verify(pairs, texts)
     # Whatever still lies in one bucket but in different groups: the texts outside its largest group with all others.
-    grouped = stage(_grouped(members.select("key", "node", "n", "bits"), tried.where("linked").select("a", "b")), "members")
+    grouped = stage(_grouped(members.select("key", "node", "n", "bits", "keys"), tried.where("linked").select("a", "b")), "members")
     sizes = grouped.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("groups"))
     sizes = sizes.where("groups > 1").select(F.col("key").alias("s_key"), F.col("top.root").alias("top"))
     minor = grouped.join(sizes, (grouped["key"] == sizes["s_key"]) & (grouped["root"] != sizes["top"]))
-    minor = minor.select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"), F.col("root").alias("x_root"))
+    minor = minor.select(F.col("key").alias("x_key"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"), F.col("keys").alias("x_keys"), F.col("root").alias("x_root"))
     apart = (grouped["key"] == minor["x_key"]) & (grouped["root"] != minor["x_root"]) & _may_be_near("n", "bits", "x_n", "x_bits")
+    apart = apart & (F.array_min(F.array_intersect("keys", "x_keys")) == F.col("key"))  # once, whatever buckets they share
     pairs = minor.join(grouped, apart).select("x", F.col("node").alias("y"))
     tried = tried.union(_verify(_untried(pairs, tried), texts))
 
