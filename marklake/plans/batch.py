@@ -25,11 +25,14 @@ class BatchResult:
     summary: DataFrame
 
 
-def finished_documents(spark: SparkSession, output: str) -> DataFrame:
-    """``conv_id, value``: the text of every document written by earlier runs."""
+def finished_documents(spark: SparkSession, output: str, without_run: str | None = None) -> DataFrame:
+    """``conv_id, value``: the text of every document written by other runs than ``without_run``."""
     if not _exists(spark, f"{output}/documents"):
         return spark.createDataFrame([], "conv_id string, value string")
-    lines = spark.read.text(f"{output}/documents")
+    # The run names are text even when they look like numbers or dates.
+    lines = spark.read.schema("value string, run string").text(f"{output}/documents")
+    if without_run is not None:
+        lines = lines.where(F.col("run") != without_run)
     return lines.select(F.get_json_object("value", "$.conv_id").alias("conv_id"), "value")
 
 
@@ -48,9 +51,10 @@ def extract_batch(
 
     Documents go to ``{output}/documents/run=..`` as JSON lines, failed ones to
     ``{output}/failures/run=..``. A document that cannot be used never stops
-    the run. Running again skips what is done and retries what failed.
+    the run. Running again skips what other runs did and retries what failed;
+    a run that is repeated under its own id writes its output anew.
     """
-    todo = skip_processed(conversations, finished_documents(spark, output))
+    todo = skip_processed(conversations, finished_documents(spark, output, run_id))
     built = conversations_from_resolved(
         resolve_documents(todo, strict=strict), mode, with_media=with_media, **options
     )

@@ -11,9 +11,16 @@ from marklake.sources.files import _exists, read_ledger
 
 
 def _last_per_key(updates: DataFrame, key: str, order: str | None) -> DataFrame:
-    """The last row of each key. An aggregate, so repeats shrink before the shuffle."""
+    """The last row of each key. An aggregate, so repeats shrink before the shuffle.
+
+    Without ``order`` nothing tells which of several rows is the last: they fail.
+    """
     if order is None:
-        return updates
+        rest = [c for c in updates.columns if c != key]
+        one = F.first(F.struct(*rest)) if rest else F.first(key)
+        fail = F.raise_error(F.lit(f"several updates of one {key} need an order"))
+        once = F.when(F.count("*") > 1, fail).otherwise(one).alias("last")
+        return updates.groupBy(key).agg(once).select(key, *(["last.*"] if rest else []))
     rest = [c for c in updates.columns if c not in (key, order)]
     return updates.groupBy(key).agg(
         F.max_by(F.struct(*rest), F.col(order)).alias("last")
@@ -41,7 +48,9 @@ def upsert_raw(
     A field of the update replaces the stored one; stored fields the update
     does not carry survive.
     """
-    if order is not None:
+    if order is None:
+        updates = _last_per_key(updates.select(key, "doc"), key, None)
+    else:
         # One row per (key, field), the last value of each, before any map is built.
         fields = updates.select(key, order, F.explode("doc").alias("field", "value"))
         updates = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,18 +25,22 @@ def ingest_stream(
     checkpoint: str,
     *,
     pages: DataFrame | None = None,
+    name: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Run the ingest workflow on every micro-batch of ``captures`` and stop when all is read.
 
     All captures of a conversation must arrive in one file, as one capture
     session writes them. A batch that is replayed after a failure rewrites its
-    own run and changes nothing else.
+    own run and changes nothing else. Runs carry ``name``, by default a hash of
+    the checkpoint's path, so streams with one state folder stay apart; a stream
+    that starts over in the same place needs another name.
     """
+    stream = name or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         run_ingest(
-            batch.sparkSession, pages, batch, state_dir, run_id=f"stream-{batch_id:09d}", **options
+            batch.sparkSession, pages, batch, state_dir, run_id=f"stream-{stream}-{batch_id:09d}", **options
         )
 
     return (

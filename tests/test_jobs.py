@@ -177,3 +177,32 @@ def test_violations(spark):
         "entry": ["instructions[].entries[].sortIndex"],
         "text": ["instructions"],
     }
+
+
+def test_batch_repeated_under_its_own_run(spark, tmp_path):
+    out = str(tmp_path / "out")
+    raw = spark.createDataFrame([("a", json.dumps(GOOD))], "conv_id string, raw string")
+    for _ in range(2):
+        assert extract_batch(spark, raw, out, "1").documents.count() == 1
+        assert spark.read.text(f"{out}/documents").count() == 1
+    assert extract_batch(spark, raw, out, "2").documents.count() == 0
+
+
+def test_two_streams_keep_apart(spark, tmp_path):
+    state = str(tmp_path / "state")
+    for name in "ab":
+        incoming = tmp_path / f"incoming-{name}"
+        incoming.mkdir()
+        (incoming / "1.json").write_text(json.dumps({"conv_id": name, "capture_no": 0, "raw": json.dumps({"data": GOOD})}))
+        ingest_stream(capture_stream(spark, str(incoming)), state, str(tmp_path / f"checkpoint-{name}")).awaitTermination()
+    assert sorted(r.conv_id for r in latest_documents(spark, state).collect()) == ["a", "b"]
+
+
+def test_repeated_keys_need_an_order(spark):
+    from marklake.sinks import tables
+
+    target = spark.createDataFrame([(1, "x")], "id int, v string")
+    updates = spark.createDataFrame([(1, "y"), (1, "z")], "id int, v string")
+    with pytest.raises(Exception, match="need an order"):
+        tables.upsert_documents(target, updates, "id").collect()
+    assert [tuple(r) for r in tables.upsert_documents(target, updates.limit(1), "id").collect()] == [(1, "y")]

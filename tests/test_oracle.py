@@ -27,7 +27,7 @@ def tidy(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
 def test_query(spark, oracle, name):
     df = entry_module.queries()[name](spark, SMALL)
     columns = sorted(df.columns)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marklake.storage import shared_dir, stage
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,17 +23,10 @@ def query(name: str, sql: str | None = None):
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """New folder for tables a job writes: in the cluster's shared folder where it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="marklake-"), name)
+    """New folder for tables a job writes, shared by all executors."""
+    return shared_dir(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table on disk, for operators that read their input more than once."""
-    path = f"{work_dir(df.sparkSession, name)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, name)
