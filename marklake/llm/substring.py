@@ -17,7 +17,6 @@ factor as a whole. Windows are compared as 128-bit hashes. Extra columns are ign
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
