@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marklake.llm import words as W
+from marklake.storage import stage
 
 WINDOW = 20
 RUN = 6
@@ -161,7 +162,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     ids = rows.select("doc", "tie", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = ids.groupBy("digest").agg(F.min(F.struct(F.col("doc").isNotNull().alias("n"), "doc", "tie")).alias("first"), F.count("*").alias("c"))
-    firsts = firsts.where("c > 1").select(F.col("digest").alias("f_digest"), "first")
+    # Written, so that the join deals both sides anew and can split the rows of a text with very many copies.
+    firsts = stage(firsts.where("c > 1").select(F.col("digest").alias("f_digest"), "first"), "firsts")
     copies = ids.join(firsts, ids["digest"] == firsts["f_digest"]).where(~(F.col("doc").eqNullSafe(F.col("first.doc"))))
     copies = _renamed(copies.select("doc", "tie").distinct()).withColumn("copied", F.lit(True))
     texts = rows.join(copies, _same(rows, copies), "left")
