@@ -48,7 +48,9 @@ def _walk(files: DataFrame, depth: int) -> DataFrame:
         F.from_json("root.value", NODE_DDL).alias("node"),
     )
     for _ in range(depth + 1):
-        is_folder = (F.col("node.type") == "folder") & F.col("node.children").isNotNull()
+        # A nameless folder with children stays, for the caller to see that it is broken.
+        named = F.col("node.name").isNotNull() | (F.size("node.children") == 0)
+        is_folder = (F.col("node.type") == "folder") & F.col("node.children").isNotNull() & named
         # Folders give way to their children, everything else stays as it is.
         # One chain of generators, so no level is computed twice.
         step = F.when(
@@ -74,8 +76,8 @@ def flatten_bookmark_tree(files: DataFrame, depth: int | None = None) -> tuple[D
     date_added, path, folder_path``: ``folder`` is the name of the direct
     parent (the root's key for a bookmark that is itself a root) and ``path``
     sorts in depth-first order. A file with a broken node (no type, a folder
-    without children, a bookmark without name, address or date) gives no
-    bookmark at all.
+    without a list of children, a nameless folder that has some, a bookmark
+    without name, address or date) gives no bookmark at all.
     """
     keys = [c for c in files.columns if c != "raw"]
     depth = nesting_depth(files) if depth is None else depth
@@ -84,7 +86,8 @@ def flatten_bookmark_tree(files: DataFrame, depth: int | None = None) -> tuple[D
     when_added = node["date_added"].try_cast("bigint")
     bad = (
         node["type"].isNull()
-        | (node["type"] == "folder") & node["children"].isNull()
+        | (node["type"] == "folder")
+        & (node["children"].isNull() | node["name"].isNull() & (F.size(node["children"]) > 0))
         | (node["type"] == "url")
         & (node["name"].isNull() | node["url"].isNull() | when_added.isNull())
     )

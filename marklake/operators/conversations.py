@@ -71,9 +71,10 @@ def assemble_conversations(
 ) -> tuple[DataFrame, DataFrame]:
     """Regroup post rows into documents; returns ``(documents, failures)``.
 
-    A document holds at most ``posts_per_document`` posts: ``doc_no`` is 0 for
-    all but very long threads, whose later posts follow in documents 1, 2, ...
-    The main post (the last main row) stands in the document it falls into.
+    Document ``doc_no`` holds the posts of a row whose ``pos`` is from ``doc_no *
+    posts_per_document`` on; ``part`` (where given) and ``doc_no`` belong to the key.
+    The main post (the last main row) stands in the document it falls into, in
+    the others it is null.
     Conversations without a main post go to the failures. Pass a written table:
     the posts are read once for the documents and once, three columns only, for
     the place of the last main post.

@@ -177,56 +177,68 @@ def media_storage_keys(media: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def media_for_ids(extracted: DataFrame, ids: DataFrame) -> DataFrame:
-    """Media of the extracted conversations whose id is listed, main post first.
-
-    ``extracted(conv_id, main_tweet, replies)``; ``ids(tweet_id)``. The ids are
-    reduced before the media are exploded.
-    """
-    wanted = ids.select(F.col("tweet_id").alias("conv_id"))
+def explode_media(extracted: DataFrame) -> DataFrame:
+    """Media rows of extracted conversations, main post first."""
+    none = F.array()
     of_replies = F.flatten(
-        F.transform(
-            F.coalesce(F.col("replies"), F.array()),
-            lambda r: F.coalesce(r["extracted_media"], F.array()),
-        )
+        F.transform(F.coalesce("replies", none), lambda r: F.coalesce(r["extracted_media"], none))
     )
-    every = F.concat(F.coalesce(F.col("main_tweet.extracted_media"), F.array()), of_replies)
+    every = F.concat(F.coalesce(F.col("main_tweet.extracted_media"), none), of_replies)
+    keys = [c for c in ("conv_id", "part") if c in extracted.columns]
     return (
-        extracted.join(wanted, "conv_id", "left_semi")
-        .select("conv_id", F.posexplode_outer(every).alias("media_pos", "item"))
+        extracted.select(*keys, F.posexplode_outer(every).alias("media_pos", "item"))
         .where(F.col("media_pos").isNotNull())
-        .select("conv_id", "media_pos", "item.*")
+        .select(*keys, "media_pos", "item.*")
     )
 
 
+def media_for_ids(extracted: DataFrame, ids: DataFrame) -> DataFrame:
+    """Media of the extracted conversations whose id is listed, main post first.
+
+    ``extracted(conv_id, main_tweet, replies)`` as a written table: the ids are
+    reduced before the media are exploded. For raw documents see
+    ``media_of_listed``.
+    """
+    wanted = ids.select(F.col("tweet_id").alias("conv_id"))
+    return explode_media(extracted.join(wanted, "conv_id", "left_semi"))
+
+
 def skip_stored_media(manifest: DataFrame, objects: DataFrame) -> DataFrame:
     """Manifest rows whose ``key`` is not yet stored with at least one byte."""
     stored = objects.where(F.col("length") > 0).select("key")
     return manifest.join(stored, "key", "left_anti")
 
 
+def with_stored(manifest: DataFrame, objects: DataFrame) -> DataFrame:
+    """Manifest rows with ``stored``: is there an object of at least one byte under ``key``?"""
+    found = objects.where(F.col("length") > 0).select("key").distinct().withColumn("stored", F.lit(True))
+    return manifest.join(found, "key", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 def stored_locations(
-    results: DataFrame, order: str = "media_id", per_list: int = 1000
+    results: DataFrame, position: str = "media_pos", per_list: int = 1000
 ) -> DataFrame:
     """Locations of stored media per post: ``tweet_id, list_no, locations``.
 
-    Failed items are dropped and posts without any stored item are absent. A
-    post has one list, in ``order``; only a post with more than ``per_list``
-    items is spread by hash over several lists of about that length, so that no
-    task has to hold all of them.
+    Failed items are dropped and posts without any stored item are absent. List
+    ``list_no`` of a post holds its items at the positions from ``list_no *
+    per_list`` on, ``per_list`` of them at most, in that order: a rule that is
+    the same for small and large posts. ``position`` is a whole number that is
+    the item's own within its post, as manifests carry it.
     """
-    stored = results.where(F.coalesce(F.length("location"), F.lit(0)) > 0).select(
-        "tweet_id", F.col(order).alias("at"), "location"
-    )
-    sizes = stored.groupBy("tweet_id").agg(F.ceil(F.count("*") / per_list).alias("lists"))
-    spread = stored.join(sizes, "tweet_id").withColumn(
-        "list_no", F.pmod(F.xxhash64("at", "location"), F.col("lists")).cast("int")
-    )
-    # The explicit exchange lets AQE split a post that fills a join partition, and
-    # spreads its lists: by itself the grouping would keep the join's partitions.
+    list_no = F.expr(f"cast({position} div {per_list} as int)").alias("list_no")
+    found = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), "location")))
     return (
-        spread.repartition("tweet_id", "list_no")
-        .groupBy("tweet_id", "list_no")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "location"))).alias("found"))
-        .select("tweet_id", "list_no", F.transform("found", lambda f: f["location"]).alias("locations"))
+        results.where(F.coalesce(F.length("location"), F.lit(0)) > 0)
+        .groupBy("tweet_id", list_no)
+        .agg(F.transform(found, lambda f: f["location"]).alias("locations"))
     )
+
+
+def media_of_listed(conversations: DataFrame, ids: DataFrame, **options) -> DataFrame:
+    """``media_for_ids`` straight from raw documents: only the listed ones are parsed."""
+    from marklake.operators.conversations import extract_conversations
+
+    wanted = ids.select(F.col("tweet_id").alias("conv_id"))
+    listed = conversations.join(wanted, "conv_id", "left_semi")
+    return explode_media(extract_conversations(listed, with_media=True, **options))

@@ -12,6 +12,7 @@ from marklake.operators.attempts import batch_summary
 from marklake.operators.conversations import conversations_from_resolved
 from marklake.operators.documents import resolve_documents
 from marklake.operators.ids import skip_processed
+from marklake.session import check_session
 from marklake.sinks.tables import write_conversations
 from marklake.sources.files import _exists
 
@@ -44,7 +45,7 @@ def extract_batch(
     *,
     with_media: bool = True,
     mode: str = KEEP,
-    strict: bool = False,
+    strict: bool = True,
     **options,
 ) -> BatchResult:
     """Extract all documents that have no readable output yet.
@@ -54,6 +55,7 @@ def extract_batch(
     the run. Running again skips what other runs did and retries what failed;
     a run that is repeated under its own id writes its output anew.
     """
+    check_session(spark)
     todo = skip_processed(conversations, finished_documents(spark, output, run_id))
     built = conversations_from_resolved(
         resolve_documents(todo, strict=strict), mode, with_media=with_media, **options

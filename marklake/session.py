@@ -39,9 +39,14 @@ def build_session(app_name: str = "marklake", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+# Other names of the same zone.
+UTC_NAMES = ("utc", "etc/utc", "uct", "etc/uct", "gmt", "etc/gmt", "z", "zulu", "etc/zulu", "universal", "+00:00")
+
+
 def check_session(spark: SparkSession) -> None:
-    """Raise when a setting that would change results differs."""
+    """Raise when a setting that would change results differs; jobs call it first."""
     for key, wanted in REQUIRED_CONF.items():
         found = spark.conf.get(key)
-        if found.lower() != wanted.lower():
+        same = UTC_NAMES if wanted == "UTC" else (wanted,)
+        if found.lower() not in same:
             raise ValueError(f"{key} must be {wanted}, found {found}")

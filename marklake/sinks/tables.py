@@ -107,15 +107,15 @@ def upsert_action_counts(
     )
 
 
+def ledger_rows(ids: DataFrame, now: datetime | None = None) -> DataFrame:
+    """Ledger rows for ``ids``, each once."""
+    stamp = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return ids.select("tweet_id").distinct().select("tweet_id", stamp.alias("created_at"))
+
+
 def new_ledger_rows(ledger: DataFrame, ids: DataFrame, now: datetime | None = None) -> DataFrame:
     """Ledger rows for the ids it does not hold yet, each once."""
-    stamp = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    return (
-        ids.select("tweet_id")
-        .distinct()
-        .join(ledger.select("tweet_id"), "tweet_id", "left_anti")
-        .select("tweet_id", stamp.alias("created_at"))
-    )
+    return ledger_rows(ids, now).join(ledger.select("tweet_id"), "tweet_id", "left_anti")
 
 
 def append_ledger(

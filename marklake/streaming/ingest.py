@@ -12,11 +12,15 @@ from marklake.plans.ingest import run_ingest
 CAPTURE_DDL = "conv_id string, capture_no int, raw string"
 
 
-def capture_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of capture rows from JSON-lines files dropped into ``path``."""
-    return (
-        spark.readStream.schema(CAPTURE_DDL).option("maxFilesPerTrigger", files_per_batch).json(path)
-    )
+def capture_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of capture rows from JSON-lines files dropped into ``path``.
+
+    A batch takes all files that have arrived, unless ``files_per_batch`` is given.
+    """
+    reader = spark.readStream.schema(CAPTURE_DDL)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
 
 
 def ingest_stream(
@@ -30,8 +34,9 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run the ingest workflow on every micro-batch of ``captures`` and stop when all is read.
 
-    All captures of a conversation must arrive in one file, as one capture
-    session writes them. A batch that is replayed after a failure rewrites its
+    The captures of a conversation should arrive in one batch, as one capture
+    session writes them. Those that come once it is in the ledger are kept, with
+    the reason, in the ``late`` table (``late_captures``). A batch that is replayed after a failure rewrites its
     own run and changes nothing else. Runs carry ``name``, by default a hash of
     the checkpoint's path, so streams with one state folder stay apart; a stream
     that starts over in the same place needs another name.

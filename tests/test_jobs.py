@@ -9,7 +9,7 @@ from marklake.operators.conversations import assemble_conversations, extract_con
 from marklake.operators.posts import extract_posts
 from marklake.operators.validate import validate_conversations
 from marklake.plans.batch import extract_batch
-from marklake.plans.ingest import latest_documents, run_ingest, run_ledger
+from marklake.plans.ingest import late_captures, latest_documents, run_ingest, run_ledger
 from marklake.sources.files import read_captures, read_conversations
 from marklake.streaming.ingest import capture_stream, ingest_stream
 from payloads import document, frame, main, media, post, reply, without
@@ -198,6 +198,40 @@ def test_two_streams_keep_apart(spark, tmp_path):
     assert sorted(r.conv_id for r in latest_documents(spark, state).collect()) == ["a", "b"]
 
 
+def test_late_captures_are_kept(spark, tmp_path):
+    state = str(tmp_path / "state")
+    first = run_ingest(spark, None, captures(spark, ("a", 0, GOOD)), state, run_id="1")
+    assert first.late.count() == 0 and first.processed.count() == 1
+    later = captures(spark, ("a", 1, GOOD), ("b", 0, GOOD), (None, 0, GOOD))
+    for _ in range(2):
+        second = run_ingest(spark, None, later, state, run_id="2")
+        assert [r.conv_id for r in second.documents.collect()] == ["b"]
+        found = {(r.conv_id, r.capture_no, r.reason, json.loads(r.raw) == {"data": GOOD}) for r in late_captures(spark, state).collect()}
+        assert found == {("a", 1, "already in the ledger", True), (None, 0, "no id", True)}
+    assert sorted(r.tweet_id for r in run_ledger(spark, state).collect()) == ["a", "b"]
+
+
+def test_jobs_reject_what_the_model_rejects(spark, tmp_path):
+    """A post with a number in a text field becomes a placeholder, unless the job is told to be lax."""
+    number = post("1", "one")
+    number["source"] = 5
+    rows = captures(spark, ("a", 0, document(main(number))))
+    texts = []
+    for name, options in (("strict", {}), ("lax", {"strict": False})):
+        found = run_ingest(spark, None, rows, str(tmp_path / name), run_id="1", **options).documents
+        texts.append(found.first()["main_tweet"]["text"])
+    assert texts == ["[Unknown tweet format]", "one"]
+
+
+def test_jobs_check_the_session(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        with pytest.raises(ValueError, match="timeZone"):
+            run_ingest(spark, None, captures(spark, ("a", 0, GOOD)), str(tmp_path), run_id="1")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_repeated_keys_need_an_order(spark):
     from marklake.sinks import tables
 

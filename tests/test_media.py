@@ -122,14 +122,14 @@ def test_fetch_retries_and_empty_payloads(spark, tmp_path):
         target.write_bytes(data)
         return "file://" + str(target)
 
-    rows = [("1", n, n, f"1/{n}") for n in ("ok", "flaky", "gone", "empty")]
-    manifest = spark.createDataFrame(rows, "tweet_id string, media_id string, media_url string, key string")
+    rows = [("1", n, i, n, f"1/{n}") for i, n in enumerate(("ok", "flaky", "gone", "empty"))]
+    manifest = spark.createDataFrame(rows, "tweet_id string, media_id string, media_pos int, media_url string, key string")
     found = {r.media_id: r for r in fetch_media(manifest, fetcher, sink, max_retries=2, retry_delay=0.0).collect()}
     assert (found["ok"].attempts, found["flaky"].attempts) == (1, 2)
     assert found["gone"].location is None and found["gone"].attempts == 3 and "never" in found["gone"].error
     assert found["empty"].location is None and "empty" in found["empty"].error
-    results = spark.createDataFrame([(r.tweet_id, r.media_id, r.location) for r in found.values()],
-                                    "tweet_id string, media_id string, location string")
+    results = spark.createDataFrame([(r.tweet_id, r.media_pos, r.location) for r in found.values()],
+                                    "tweet_id string, media_pos int, location string")
     stored = ops.stored_locations(results).collect()
     assert len(stored) == 1 and len(stored[0].locations) == 2
     # A second run skips what is stored; an empty object does not count.
@@ -141,9 +141,36 @@ def test_fetch_retries_and_empty_payloads(spark, tmp_path):
 def test_long_location_lists_are_split(spark):
     results = spark.range(2500).select(
         F.when(F.col("id") < 2400, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 10).cast("string"))).alias("tweet_id"),
-        F.col("id").alias("media_id"), F.col("id").cast("string").alias("location"))
+        F.col("id").alias("media_pos"), F.col("id").cast("string").alias("location"))
     lists = ops.stored_locations(results, per_list=300).collect()
     hot = [r.locations for r in lists if r.tweet_id == "hot"]
     assert len(hot) == 8 and sorted(int(x) for ls in hot for x in ls) == list(range(2400))
-    assert all([int(x) for x in ls] == sorted(int(x) for x in ls) for ls in hot)
+    assert sorted([int(x) for x in ls] for ls in hot) == [list(range(a, a + 300)) for a in range(0, 2400, 300)]
     assert sorted(r.tweet_id for r in lists if r.tweet_id != "hot") == [f"t{i}" for i in range(10)]
+
+
+def test_media_job(spark, tmp_path):
+    """Stored objects aren't fetched again and stand in the locations; the sink learns the type."""
+    from marklake.plans.media import run_media
+
+    rows = [("1", f"m{i}", i, f"u{i}", f"1/m{i}.png", f"s3://b/1/m{i}.png", "image/png") for i in range(300)]
+    manifest = spark.createDataFrame(rows, "tweet_id string, media_id string, media_pos int, media_url string, key string, "
+                                           "location string, content_type string")
+    objects = spark.createDataFrame([("1/m0.png", 5), ("1/m1.png", 0), ("1/m0.png", 5)], "key string, length bigint")
+
+    def fetcher(address):
+        if address == "u2":
+            raise OSError("never")
+        return b"x"
+
+    def sink(key, data, kind):
+        return f"{kind}:{key}"
+
+    state = str(tmp_path)
+    for _ in range(2):
+        done = run_media(spark, manifest, objects, fetcher, sink, state, run_id="1", max_retries=0, typed=True)
+        found = {r.media_pos: r for r in done.results.collect()}
+        assert len(found) == 300 and (found[0].attempts, found[1].attempts, found[2].location) == (0, 1, None)
+        assert [r.media_id for r in done.failures.collect()] == ["m2"]
+        (only,) = done.locations.collect()
+        assert only.locations[:2] == ["s3://b/1/m0.png", "image/png:1/m1.png"] and len(only.locations) == 299

@@ -29,8 +29,16 @@ def test_merging_after_a_join_is_spread_by_part(spark, merge_joins):
 
 
 def test_location_lists_are_spread_by_list(spark, merge_joins):
-    rows = spark.range(10).select(F.lit("hot").alias("tweet_id"), F.col("id").alias("media_id"), F.lit("x").alias("location"))
-    assert "REPARTITION_BY_COL" in plan(media.stored_locations(rows, per_list=2))
+    rows = spark.range(10).select(F.lit("hot").alias("tweet_id"), F.col("id").alias("media_pos"), F.lit("x").alias("location"))
+    text = plan(media.stored_locations(rows, per_list=2))
+    assert text.count("Exchange hashpartitioning(tweet_id") == 1 and "Join" not in text
+    assert media.stored_locations(rows, per_list=2).count() == 5
+
+
+def test_listed_documents_are_parsed_after_the_join(spark, merge_joins):
+    rows = spark.createDataFrame([("1", "{}")], "conv_id string, raw string")
+    text = plan(media.media_of_listed(rows, spark.createDataFrame([("1",)], "tweet_id string")))
+    assert text.index("from_json") < text.index("LeftSemi"), "the join must stand below the parse"
 
 
 def test_repeated_ids_shrink_before_the_join(spark, merge_joins):

@@ -162,19 +162,22 @@ def posts_flat(spark, sf_dir):
 
 @query(
     "entries",
-    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(1 AS INTEGER) AS instr_pos, CAST(3 * turn AS INTEGER) AS entry_pos,
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn // 64 AS INTEGER) AS part,
+              CAST(1 AS INTEGER) AS instr_pos, CAST(3 * (turn % 64) AS INTEGER) AS entry_pos,
               CASE WHEN turn = 0 THEN 'main' ELSE 'reply' END AS role, 'post' AS status FROM conversations""",
 )
 def entries(spark, sf_dir):
     return posts.explode_entries(_thread(spark, sf_dir, extra=True)).select(
-        "conv_id", "instr_pos", "entry_pos", "role", "status"
+        "conv_id", "part", "instr_pos", "entry_pos", "role", "status"
     )
 
 
 @query(
     "two_mains",
-    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, max_by(text, turn) AS main_text, count(*) // 2 AS n_replies
-       FROM conversations GROUP BY conv_id""",
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn // 64 AS INTEGER) AS part, CAST(0 AS INTEGER) AS doc_no,
+              CASE WHEN max(turn) = max(max(turn)) OVER (PARTITION BY conv_id) THEN max_by(text, turn) END AS main_text,
+              count(*) FILTER (turn % 2 = 1) AS n_replies
+       FROM conversations GROUP BY conv_id, turn // 64""",
 )
 def two_mains(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
@@ -188,6 +191,8 @@ def two_mains(spark, sf_dir):
     documents, _ = conversations.assemble_conversations(written(found, "posts"))
     return documents.select(
         "conv_id",
+        "part",
+        "doc_no",
         F.col("main_tweet.text").alias("main_text"),
         F.size("replies").cast("bigint").alias("n_replies"),
     )
@@ -195,30 +200,32 @@ def two_mains(spark, sf_dir):
 
 @query(
     "conversation_documents",
-    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, max(CASE WHEN turn = 0 THEN text END) AS main_text,
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn // 64 AS INTEGER) AS part,
+              max(CASE WHEN turn = 0 THEN text END) AS main_text,
               string_agg(CASE WHEN turn > 0 THEN text END, '|' ORDER BY turn) AS reply_texts
-       FROM conversations GROUP BY conv_id""",
+       FROM conversations GROUP BY conv_id, turn // 64""",
 )
 def conversation_documents(spark, sf_dir):
     built = conversations.extract_conversations(_thread(spark, sf_dir))
     texts = F.array_join(F.transform("replies", lambda r: r["text"]), "|")
     return built.select(
-        "conv_id", F.col("main_tweet.text").alias("main_text"), F.when(texts != "", texts).alias("reply_texts")
+        "conv_id", "part", F.col("main_tweet.text").alias("main_text"), F.when(texts != "", texts).alias("reply_texts")
     )
 
 
 @query(
     "assembled_documents",
-    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, max(CASE WHEN turn = 0 THEN text END) AS main_text,
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn // 64 AS INTEGER) AS part, CAST(0 AS INTEGER) AS doc_no,
+              max(CASE WHEN turn = 0 THEN text END) AS main_text,
               string_agg(CASE WHEN turn > 0 THEN text END, '|' ORDER BY turn) AS reply_texts
-       FROM conversations GROUP BY conv_id""",
+       FROM conversations GROUP BY conv_id, turn // 64""",
 )
 def assembled_documents(spark, sf_dir):
     found = posts.extract_posts(_thread(spark, sf_dir))
     documents, _ = conversations.assemble_conversations(written(found, "posts"))
     texts = F.array_join(F.transform("replies", lambda r: r["text"]), "|")
     return documents.select(
-        "conv_id", F.col("main_tweet.text").alias("main_text"), F.when(texts != "", texts).alias("reply_texts")
+        "conv_id", "part", "doc_no", F.col("main_tweet.text").alias("main_text"), F.when(texts != "", texts).alias("reply_texts")
     )
 
 
@@ -598,14 +605,15 @@ def articles(spark, sf_dir):
 @query(
     "transcript",
     """SELECT CAST(conv_id AS VARCHAR) AS conv_id,
-              max(CASE WHEN turn = 0 THEN 'Main Tweet by ' || role || ':' || chr(10) || text END)
-              || chr(10) || chr(10) || 'Replies:' || chr(10)
+              CAST(turn // 64 AS INTEGER) AS part,
+              coalesce(max(CASE WHEN turn = 0 THEN 'Main Tweet by ' || role || ':' || chr(10) || text || chr(10) END), '')
+              || chr(10) || 'Replies:' || chr(10)
               || string_agg(CASE WHEN turn > 0 THEN '- ' || role || ': ' || text || chr(10) ELSE '' END
                             || '- : [No tweet text available]', chr(10) ORDER BY turn) AS transcript
-       FROM conversations GROUP BY conv_id""",
+       FROM conversations GROUP BY conv_id, turn // 64""",
 )
 def transcripts(spark, sf_dir):
-    return transcript.render_transcript(_thread(spark, sf_dir, extra=True)).select("conv_id", "transcript")
+    return transcript.render_transcript(_thread(spark, sf_dir, extra=True)).select("conv_id", "part", "transcript")
 
 
 def _damaged(spark, sf_dir):
@@ -676,10 +684,10 @@ def capture_entries(spark, sf_dir):
 
 @query(
     "merge_pages",
-    """SELECT CAST(conv_id AS VARCHAR) AS conv_id,
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn // 192 AS INTEGER) AS part,
               string_agg(CASE WHEN turn = 0 THEN 'tweet-' ELSE 'conversationthread-' END || conv_id || '_' || turn,
                          ',' ORDER BY turn) AS entry_ids
-       FROM conversations GROUP BY conv_id""",
+       FROM conversations GROUP BY conv_id, turn // 192""",
 )
 def merge_pages(spark, sf_dir):
     merged = captures.merge_capture_pages(capture_rows(spark, sf_dir))
@@ -691,5 +699,5 @@ def merge_pages(spark, sf_dir):
         F.from_json("raw", ddl)["threaded_conversation_with_injections_v2"]["instructions"], F.lit(0)
     )["entries"]
     return merged.select(
-        "conv_id", F.array_join(F.transform(found, lambda e: e["entryId"]), ",").alias("entry_ids")
+        "conv_id", "part", F.array_join(F.transform(found, lambda e: e["entryId"]), ",").alias("entry_ids")
     )

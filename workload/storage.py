@@ -6,13 +6,14 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from marklake.operators import attempts, bookmark_tree, conversations, fetch, media as media_ops, posts
+from marklake.operators import attempts, bookmark_tree, fetch, media as media_ops, posts
 from marklake.plans import batch, ingest
+from marklake.plans.media import run_media
 from marklake.sinks import tables
 from marklake.streaming.ingest import capture_stream, ingest_stream
 from workload.core import capture_rows
 from workload.registry import query, work_dir
-from workload.shapes import entities, json, media, post, single, spread_table, table
+from workload.shapes import entities, json, media, post, single, spread_table, table, turn_id, turn_post
 
 # --- media -----------------------------------------------------------------------
 
@@ -146,13 +147,13 @@ def attach_media(spark, sf_dir):
         WHERE tweet_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 def media_for_ids(spark, sf_dir):
-    extracted = conversations.extract_conversations(_order_documents(spark, sf_dir), with_media=True)
     wanted = (
         table(spark, sf_dir, "orders")
         .where(F.col("o_orderpriority") == "1-URGENT")
         .select(_order_key().alias("tweet_id"))
     )
-    return media_ops.media_for_ids(extracted, wanted).select("conv_id", "media_id", "media_url")
+    found = media_ops.media_of_listed(_order_documents(spark, sf_dir), wanted)
+    return found.select("conv_id", "media_id", "media_url")
 
 
 _EXT = r"""regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*', ''), '[^/]*$', 0)"""
@@ -193,15 +194,20 @@ def _event_manifest(spark, sf_dir):
     )
 
 
+def _event_objects(spark, sf_dir):
+    """Objects of the view events; those of small value are empty."""
+    return table(spark, sf_dir, "events").where(F.col("event_type") == "view").select(
+        F.concat(F.lit("k/"), F.col("event_id").cast("string")).alias("key"),
+        F.when(F.col("value") < 20, 0).otherwise(10).cast("bigint").alias("length"),
+    )
+
+
 @query(
     "skip_stored",
     "SELECT CAST(event_id AS VARCHAR) AS media_id FROM events WHERE event_type <> 'view' OR value < 20",
 )
 def skip_stored(spark, sf_dir):
-    objects = table(spark, sf_dir, "events").where(F.col("event_type") == "view").select(
-        F.concat(F.lit("k/"), F.col("event_id").cast("string")).alias("key"),
-        F.when(F.col("value") < 20, 0).otherwise(10).cast("bigint").alias("length"),
-    )
+    objects = _event_objects(spark, sf_dir)
     return media_ops.skip_stored_media(_event_manifest(spark, sf_dir), objects).select("media_id")
 
 
@@ -238,8 +244,9 @@ def fetch_media(spark, sf_dir):
 
 @query(
     "stored_locations",
-    """SELECT CAST(user_id AS VARCHAR) AS tweet_id, string_agg('mem://' || event_id, ',' ORDER BY event_id) AS locations
-       FROM events WHERE event_type <> 'error' GROUP BY user_id""",
+    """SELECT CAST(user_id AS VARCHAR) AS tweet_id, CAST(event_id // 1000 AS INTEGER) AS list_no,
+              string_agg('mem://' || event_id, ',' ORDER BY event_id) AS locations
+       FROM events WHERE event_type <> 'error' GROUP BY user_id, event_id // 1000""",
 )
 def stored_locations(spark, sf_dir):
     ok = F.col("event_type") != "error"
@@ -248,9 +255,36 @@ def stored_locations(spark, sf_dir):
         "event_id",
         F.when(ok, F.concat(F.lit("mem://"), F.col("event_id").cast("string"))).alias("location"),
     )
-    return media_ops.stored_locations(results, order="event_id").select(
-        "tweet_id", F.array_join("locations", ",").alias("locations")
+    return media_ops.stored_locations(results, position="event_id").select(
+        "tweet_id", "list_no", F.array_join("locations", ",").alias("locations")
+    )
+
+
+@query(
+    "media_stage",
+    """SELECT CAST(user_id AS VARCHAR) AS tweet_id, CAST(event_id // 1000 AS INTEGER) AS list_no,
+              string_agg(CASE WHEN event_type = 'view' THEN 's3://media/k/' ELSE 'mem://k/' END || event_id, ','
+                         ORDER BY event_id) AS locations
+       FROM events WHERE event_type <> 'error' AND (event_type <> 'view' OR value >= 20)
+       GROUP BY user_id, event_id // 1000""",
+)
+def media_stage(spark, sf_dir):
+    manifest = _event_manifest(spark, sf_dir).withColumns(
+        {"media_pos": F.col("media_id").cast("bigint"), "location": F.concat(F.lit("s3://media/"), F.col("key"))}
+    )
+    done = run_media(
+        spark,
+        manifest,
+        _event_objects(spark, sf_dir),
+        _local_fetch,
+        _local_sink,
+        work_dir(spark, "media"),
+        run_id="1",
+        max_retries=1,
+        retry_delay=0.0,
+        partitions=spark.sparkContext.defaultParallelism,
     )
+    return done.locations.withColumn("locations", F.array_join("locations", ","))
 
 
 # --- sinks -----------------------------------------------------------------------
@@ -411,11 +445,14 @@ def _bookmark_files(spark, sf_dir):
             top.alias("other"),
         ).alias("roots")
     )
-    return named.groupBy("r_name", "n_name", F.expr("c_custkey div 100").alias("block")).agg(
+    whole = named.groupBy("r_name", "n_name", F.expr("c_custkey div 100").alias("block")).agg(
         F.to_json(tree).alias("raw")
     ).select(
         F.concat_ws("/", "n_name", F.lpad(F.col("block").cast("string"), 12, "0")).alias("file"), "raw"
     )
+    # One more file per nation whose folder has a bookmark but no name.
+    nameless = F.lit('{"roots":{"bar":{"type":"folder","children":[{"type":"url","name":"n","url":"u","date_added":"1"}]}}}')
+    return whole.unionByName(nation.select(F.concat("n_name", F.lit("/nameless")).alias("file"), nameless.alias("raw")))
 
 
 _TREE = """SELECT n_name || '/' || lpad(CAST(c_custkey // 100 AS VARCHAR), 12, '0') AS file, c_custkey,
@@ -441,6 +478,12 @@ def bookmark_trees(spark, sf_dir):
     )
 
 
+@query("broken_trees", "SELECT n_name || '/nameless' AS file, 'flatten' AS stage FROM nation")
+def broken_trees(spark, sf_dir):
+    _, failed = bookmark_tree.flatten_bookmark_tree(_bookmark_files(spark, sf_dir))
+    return failed.select("file", "stage")
+
+
 @query("preview", f"SELECT name, url FROM ({_TREE}) ORDER BY file, c_custkey LIMIT 10")
 def preview(spark, sf_dir):
     found, _ = bookmark_tree.flatten_bookmark_tree(_bookmark_files(spark, sf_dir))
@@ -480,14 +523,43 @@ def ingest_job(spark, sf_dir):
 @query("ingest_stream", _CONVERSATIONS)
 def ingest_stream_job(spark, sf_dir):
     state = work_dir(spark, "stream")
-    capture_rows(spark, sf_dir).repartition("conv_id").write.json(f"{state}/incoming")
+    capture_rows(spark, sf_dir).write.json(f"{state}/incoming")
     arriving = capture_stream(spark, f"{state}/incoming")
     ingest_stream(arriving, f"{state}/state", f"{state}/checkpoint").awaitTermination()
     return _shown(ingest.latest_documents(spark, f"{state}/state"))
 
 
+@query(
+    "ingest_late",
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, max(CASE WHEN turn = 0 THEN text END) AS main_text,
+              count(*) FILTER (turn BETWEEN 1 AND 2) AS n_replies, max(turn) // 3 AS n_late
+       FROM conversations GROUP BY conv_id""",
+)
+def ingest_late(spark, sf_dir):
+    # Two streams into one state; the second brings what the first one's conversations lack.
+    state = work_dir(spark, "late")
+    arrived = capture_rows(spark, sf_dir)
+    for name, rows in (("a", arrived.where("capture_no = 0")), ("b", arrived.where("capture_no > 0"))):
+        rows.write.json(f"{state}/incoming-{name}")
+        arriving = capture_stream(spark, f"{state}/incoming-{name}")
+        ingest_stream(arriving, f"{state}/state", f"{state}/checkpoint-{name}", name=name).awaitTermination()
+    late = ingest.late_captures(spark, f"{state}/state").groupBy("conv_id").agg(F.count("*").alias("n_late"))
+    shown = _shown(ingest.latest_documents(spark, f"{state}/state"))
+    return shown.join(late, "conv_id", "left").withColumn("n_late", F.coalesce("n_late", F.lit(0).cast("bigint")))
+
+
+@query("batch_rerun", "SELECT conv_id || '_' || turn AS conv_id, text AS main_text FROM conversations")
+def batch_rerun(spark, sf_dir):
+    output = work_dir(spark, "rerun")
+    docs = single(spread_table(spark, sf_dir, "conversations"), turn_id(), json(turn_post()))
+    for _ in range(2):
+        batch.extract_batch(spark, docs, output, "1")
+    on_disk = spark.read.schema("conv_id string, main_tweet struct<text: string>").json(f"{output}/documents")
+    return on_disk.select("conv_id", F.col("main_tweet.text").alias("main_text"))
+
+
 @query("batch_extract", _CANDIDATES.replace("'https://img/v.jpg?name=orig'", "CAST(NULL AS VARCHAR)").replace("'https://img/w.jpg?name=orig'", "CAST(NULL AS VARCHAR)"))
 def batch_extract(spark, sf_dir):
     output = work_dir(spark, "batch")
     done = batch.extract_batch(spark, _order_documents(spark, sf_dir), output, "1")
-    return ingest.conversation_media(done.documents).select(*_MEDIA_COLUMNS)
+    return media_ops.explode_media(done.documents).select(*_MEDIA_COLUMNS)
