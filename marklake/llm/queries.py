@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marklake.llm import chat, mixing, orderminhash, packing, quality, sharding, substring, tokens, topk, warc
+from marklake.llm import chat, langid, mixing, orderminhash, packing, periodic, prefixtrie, quality, sharding, substring, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -191,3 +191,92 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def id_checksum(name: str) -> Column:
+    """CRC-32 of a whole number's decimal text."""
+    return F.crc32(F.col(name).cast("string").cast("binary"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; in one text of ten, chosen by id, the words from some place on repeat a stretch of it."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    h = id_checksum("doc_id")
+    g = F.floor(h / 10)
+
+    def planted(w: Column) -> Column:
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+        whence = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, whence(i))), " ")).otherwise("")
+
+    # The one-element transform keeps the list of words from being made again for each word.
+    text = F.get(F.transform(F.array(words), planted), F.lit(0))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and what is left without the repeats."""
+    found = periodic.periodic_runs(with_planted_period(table(spark, sf_dir, "documents")))
+    best = periodic.longest_run(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_checksum("doc_id"), F.lit(5)) == 0
+    learned = langid.fit(docs.where(F.coalesce(~held_out, F.lit(False))))
+    found = langid.identify(docs, learned)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "lead", "accepted")
+
+
+OP13_SQL = """
+WITH raw AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(strlen(role)::VARCHAR || ':' || role || text)) - 1 AS i FROM raw),
+bits AS (
+  SELECT c, list_reduce(list_prepend(4294967295::BIGINT, flatten([list_prepend(ascii(x)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])
+    for x in string_split(c::VARCHAR, '')])), lambda s, t: CASE WHEN t >= 0 THEN xor(s, t)
+    ELSE xor(s >> 1, 3988292384 * (s & 1)) END) AS s
+  FROM (SELECT DISTINCT c FROM raw)),
+h AS (SELECT c, xor(s, 4294967295) % 9 AS h FROM bits),
+t AS (
+  SELECT h.c, o.i, role, text FROM h JOIN own o ON o.c = h.c - h.c % 5 AND o.i < h.h
+  UNION ALL SELECT h.c, o.i, role, text FROM h JOIN own o ON o.c = h.c AND o.i >= h.h),
+p AS (
+  SELECT c, row_number() OVER w AS d, strlen(text) AS bytes,
+    string_agg(sha256(strlen(role)::VARCHAR || ':' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS k
+  FROM t WINDOW w AS (PARTITION BY c ORDER BY i)
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+e AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+n AS (
+  SELECT k, any_value(p.d) AS d, min(p.c) AS c, count(*) AS n, any_value(bytes) AS bytes,
+    count(*) FILTER (p.d = e.d) AS n_ends,
+    sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (p.d = e.d), '')) AS ends
+  FROM p JOIN e USING (c) GROUP BY k),
+below AS (
+  SELECT a.k, sum((n.n - 1) * n.bytes) AS saved, count(*) FILTER (n.n = n.n_ends) AS leaves, count(*) FILTER (n.d = a.d + 1) AS children
+  FROM n JOIN p a ON a.c = n.c AND a.d <= n.d GROUP BY a.k)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n::BIGINT AS n_convs, children::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN below USING (k) LEFT JOIN n u ON n.d > 0 AND u.k = n.k[1:length(n.k) - 64]
+"""
+
+
+def trie_of(turns: DataFrame) -> DataFrame:
+    """Trie over conversations that take their first turns, 8 at most, from the last conversation divisible by five."""
+    return prefixtrie.prefix_trie(turns, F.pmod(id_checksum("conv_id"), F.lit(9)), F.col("conv_id") - F.col("conv_id") % 5)
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie over rebuilt conversations."""
+    return trie_of(table(spark, sf_dir, "conversations"))
