@@ -2,59 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from marklake.functions.scalars import webkit_date
+from marklake.storage import shared_dir
 
 NODE_DDL = "struct<type:string,name:string,url:string,date_added:string,children:array<string>>"
+LEVELS = 4
 
 
-def nesting_depth(files: DataFrame) -> int:
-    """Deepest nesting of lists over all files: an upper bound on the folder depth.
-
-    A single number is brought back, the maximum over the files.
-    """
-    no_text = F.regexp_replace("raw", r'"(?:[^"\\]|\\.)*+"', "")
-    brackets = F.regexp_replace(no_text, r"[^\[\]]", "")
-    depth = F.aggregate(
-        F.split(brackets, ""),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda acc, c: F.struct(
-            (acc["now"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)).alias("now"),
-            F.greatest(
-                acc["top"], acc["now"] + F.when(c == "[", 1).otherwise(0)
-            ).alias("top"),
-        ),
-        lambda acc: acc["top"],
-    )
-    found = files.agg(F.max(depth).alias("depth")).first()
-    return (found["depth"] if found else None) or 0
-
-
-def _walk(files: DataFrame, depth: int) -> DataFrame:
-    """Leaf rows of every tree: bookmarks, ignored nodes and broken nodes."""
-    keys = [c for c in files.columns if c != "raw"]
+def _roots(files: DataFrame, keys: list[str]) -> DataFrame:
     roots = F.from_json("raw", "struct<roots:map<string,string>>")["roots"]
     # A file without readable roots keeps one row that marks it as broken.
     listed = F.coalesce(
         F.map_entries(roots), F.array(F.lit(None).cast("struct<key:string,value:string>"))
     )
-    rows = files.select(*keys, F.posexplode(listed).alias("at", "root")).select(
+    return files.select(*keys, F.posexplode(listed).alias("at", "root")).select(
         *keys,
         F.array("at").alias("path"),
         F.col("root.key").alias("folder"),
         F.array().cast("array<string>").alias("folder_path"),
         F.from_json("root.value", NODE_DDL).alias("node"),
     )
-    for _ in range(depth + 1):
-        # A nameless folder with children stays, for the caller to see that it is broken.
-        named = F.col("node.name").isNotNull() | (F.size("node.children") == 0)
-        is_folder = (F.col("node.type") == "folder") & F.col("node.children").isNotNull() & named
-        # Folders give way to their children, everything else stays as it is.
+
+
+def _is_folder() -> Column:
+    # A nameless folder with children stays, for the caller to see that it is broken.
+    named = F.col("node.name").isNotNull() | (F.size("node.children") == 0)
+    return F.coalesce((F.col("node.type") == "folder") & F.col("node.children").isNotNull() & named, F.lit(False))
+
+
+def _opened(rows: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """Folders give way to their children, ``levels`` times; everything else stays as it is."""
+    for _ in range(levels):
         # One chain of generators, so no level is computed twice.
         step = F.when(
-            is_folder,
+            _is_folder(),
             F.transform(
                 F.col("node.children"),
                 lambda child, i: F.struct(
@@ -69,7 +56,26 @@ def _walk(files: DataFrame, depth: int) -> DataFrame:
     return rows
 
 
-def flatten_bookmark_tree(files: DataFrame, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _walk(files: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """Leaf rows of every tree: bookmarks, ignored nodes and broken nodes.
+
+    Folders are a frontier that moves down ``levels`` levels a round. A round is written, its leaves stay where they are,
+    and the folders that are left make the next one; an empty frontier ends the loop. So plans don't grow with the deepest
+    file, and files that are done take no part in the rounds that deeper ones need.
+    """
+    spark = files.sparkSession
+    root = shared_dir(spark, "bookmark-levels")
+    frontier = _roots(files, keys)
+    for level in count():
+        rows = _opened(frontier, keys, levels).withColumn("open", _is_folder())
+        rows.write.parquet(f"{root}/level={level}")
+        frontier = spark.read.schema(rows.schema).parquet(f"{root}/level={level}").where("open").drop("open")
+        if frontier.isEmpty():
+            break
+    return spark.read.schema(rows.schema.add("level", IntegerType())).parquet(root).where("NOT open").drop("open", "level")
+
+
+def flatten_bookmark_tree(files: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """Bookmarks of ``files(file, .., raw)`` and the files that cannot be read.
 
     Returns ``(bookmarks, failures)``. Bookmarks carry ``name, url, folder,
@@ -77,11 +83,11 @@ def flatten_bookmark_tree(files: DataFrame, depth: int | None = None) -> tuple[D
     parent (the root's key for a bookmark that is itself a root) and ``path``
     sorts in depth-first order. A file with a broken node (no type, a folder
     without a list of children, a nameless folder that has some, a bookmark
-    without name, address or date) gives no bookmark at all.
+    without name, address or date) gives no bookmark at all. Folders may be nested
+    to any depth; ``levels`` of them are opened in one pass.
     """
     keys = [c for c in files.columns if c != "raw"]
-    depth = nesting_depth(files) if depth is None else depth
-    leaves = _walk(files, depth)
+    leaves = _walk(files, keys, levels)
     node = F.col("node")
     when_added = node["date_added"].try_cast("bigint")
     bad = (

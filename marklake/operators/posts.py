@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marklake.functions.index import index_of
 from marklake.functions.reuse import once_per_jvm
 from marklake.functions.scalars import created_timestamp, float_seconds
 from marklake.functions.text import KEEP, expand_urls, handle_media_urls, strip
@@ -83,16 +84,7 @@ def media_url_columns(post: Column) -> dict[str, Column]:
             float_seconds(m["video_info"]["duration_millis"]).alias("value"),
         ),
     )
-    # Equal keys are dropped here, so no session-wide map setting is needed.
-    last = lambda ts: F.filter(
-        ts,
-        lambda t, i: ~F.exists(
-            F.filter(ts, lambda _, j: j > i), lambda later: later["key"] == t["key"]
-        ),
-    )
-    durations = F.map_from_entries(
-        F.get(F.transform(F.array(timed), last), F.lit(0))
-    )
+    durations = index_of(timed)
     return {
         "media_urls": _strings(F.transform(post["media"], lambda m: m["expanded_url"])),
         "video_durations": F.coalesce(

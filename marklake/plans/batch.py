@@ -11,10 +11,14 @@ from marklake.functions.text import KEEP
 from marklake.operators.attempts import batch_summary
 from marklake.operators.conversations import conversations_from_resolved
 from marklake.operators.documents import resolve_documents
-from marklake.operators.ids import skip_processed
 from marklake.session import check_session
 from marklake.sinks.tables import write_conversations
 from marklake.sources.files import _exists
+from marklake.storage import stage
+
+MANIFEST_DDL = "conv_id string, file string, length bigint, modified timestamp"
+#: Changed files whose names are listed one by one; beyond it the whole folder is read and joined with them.
+MOST_LISTED = 10_000
 
 
 @dataclass(frozen=True)
@@ -26,15 +30,60 @@ class BatchResult:
     summary: DataFrame
 
 
-def finished_documents(spark: SparkSession, output: str, without_run: str | None = None) -> DataFrame:
-    """``conv_id, value``: the text of every document written by other runs than ``without_run``."""
+def _document_files(spark: SparkSession, output: str) -> DataFrame:
+    """``file, length, modified`` of the written documents; a listing, no content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(f"{output}/documents")
+    file = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
+    return listed.select(file.alias("file"), "length", F.col("modificationTime").alias("modified"))
+
+
+def _documents_in(spark: SparkSession, output: str, files: DataFrame) -> DataFrame:
+    """``conv_id, file, length, modified`` of every readable line in ``files``."""
+    names = [r["file"] for r in files.select("file").take(MOST_LISTED + 1)]
+    if len(names) <= MOST_LISTED:  # the usual case: only these are opened
+        lines = spark.read.text([f"{output}/documents/{name}" for name in names])
+    else:
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(f"{output}/documents")
+    file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)
+    ids = lines.select(F.get_json_object("value", "$.conv_id").alias("conv_id"), F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))).alias("file"), F.try_parse_json("value").isNotNull().alias("readable"))
+    return ids.where("readable").drop("readable").join(files, "file")
+
+
+def finished_ids(spark: SparkSession, output: str, run_id: str) -> DataFrame | None:
+    """Ids with a readable output written by other runs than ``run_id``; None when there is no output.
+
+    The manifest tells which ids a file holds, as long as the file has the length and the time that were noted. Only
+    files that changed, or that no manifest knows, are read; what they hold is noted in the manifest of this run.
+    """
     if not _exists(spark, f"{output}/documents"):
-        return spark.createDataFrame([], "conv_id string, value string")
-    # The run names are text even when they look like numbers or dates.
-    lines = spark.read.schema("value string, run string").text(f"{output}/documents")
-    if without_run is not None:
-        lines = lines.where(F.col("run") != without_run)
-    return lines.select(F.get_json_object("value", "$.conv_id").alias("conv_id"), "value")
+        return None
+    listed = _document_files(spark, output).where(~F.col("file").startswith(f"run={run_id}/"))
+    known = None
+    if _exists(spark, f"{output}/manifest"):
+        # The run names are text even when they look like numbers or dates.
+        known = spark.read.schema(f"{MANIFEST_DDL}, run string").parquet(f"{output}/manifest").drop("run")
+        files = known.where("conv_id IS NULL").drop("conv_id")
+        unknown = listed.join(files, ["file", "length", "modified"], "left_anti")
+    else:
+        unknown = listed
+    if not unknown.isEmpty():
+        note_outputs(spark, output, f"~{run_id}", unknown)
+        known = spark.read.schema(f"{MANIFEST_DDL}, run string").parquet(f"{output}/manifest").drop("run")
+    if known is None:
+        return None
+    return known.where("conv_id IS NOT NULL").join(listed, ["file", "length", "modified"], "left_semi").select("conv_id")
+
+
+def note_outputs(spark: SparkSession, output: str, entry: str, files: DataFrame) -> None:
+    """Add the ids in ``files`` to the manifest, and a row without id for each file, so that empty ones are known, too.
+
+    Bloom filters over the ids let a look-up of single ids skip most files of the manifest.
+    """
+    files = stage(files, "files")
+    rows = _documents_in(spark, output, files).unionByName(files, allowMissingColumns=True)
+    rows = rows.select("conv_id", "file", "length", "modified")
+    writer = rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#conv_id", "true")
+    writer.parquet(f"{output}/manifest/run={entry}")
 
 
 def extract_batch(
@@ -53,10 +102,13 @@ def extract_batch(
     Documents go to ``{output}/documents/run=..`` as JSON lines, failed ones to
     ``{output}/failures/run=..``. A document that cannot be used never stops
     the run. Running again skips what other runs did and retries what failed;
-    a run that is repeated under its own id writes its output anew.
+    a run that is repeated under its own id writes its output anew. Which ids
+    are done is read from a narrow manifest; of earlier output only files that
+    changed since are read (:func:`finished_ids`).
     """
     check_session(spark)
-    todo = skip_processed(conversations, finished_documents(spark, output, run_id))
+    finished = finished_ids(spark, output, run_id)
+    todo = conversations if finished is None else conversations.join(finished, "conv_id", "left_anti")
     built = conversations_from_resolved(
         resolve_documents(todo, strict=strict), mode, with_media=with_media, **options
     )
@@ -69,5 +121,6 @@ def extract_batch(
     failures = written.where(~ok).select("conv_id", "stage", "reason")
     write_conversations(documents, f"{output}/documents/run={run_id}")
     failures.write.mode("overwrite").parquet(f"{output}/failures/run={run_id}")
+    note_outputs(spark, output, run_id, _document_files(spark, output).where(F.col("file").startswith(f"run={run_id}/")))
     attempts = written.select(F.col("conv_id").alias("tweet_id"), ok.alias("ok"))
     return BatchResult(documents, failures, batch_summary(attempts))

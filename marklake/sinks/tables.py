@@ -14,6 +14,7 @@ def _last_per_key(updates: DataFrame, key: str, order: str | None) -> DataFrame:
     """The last row of each key. An aggregate, so repeats shrink before the shuffle.
 
     Without ``order`` nothing tells which of several rows is the last: they fail.
+    Of rows with the same ``order`` the one with the greater JSON text counts.
     """
     if order is None:
         rest = [c for c in updates.columns if c != key]
@@ -22,9 +23,10 @@ def _last_per_key(updates: DataFrame, key: str, order: str | None) -> DataFrame:
         once = F.when(F.count("*") > 1, fail).otherwise(one).alias("last")
         return updates.groupBy(key).agg(once).select(key, *(["last.*"] if rest else []))
     rest = [c for c in updates.columns if c not in (key, order)]
+    content = F.struct(*rest) if rest else F.struct(key)
     return updates.groupBy(key).agg(
-        F.max_by(F.struct(*rest), F.col(order)).alias("last")
-    ).select(key, "last.*")
+        F.max_by(content, F.struct(order, F.to_json(content))).alias("last")
+    ).select(key, *(["last.*"] if rest else []))
 
 
 def upsert_documents(
@@ -46,18 +48,20 @@ def upsert_raw(
     """Merge JSON documents by their top-level fields: ``key, doc map<string,variant>``.
 
     A field of the update replaces the stored one; stored fields the update
-    does not carry survive.
+    does not carry survive. A document without fields is kept as such. Of values
+    of a field with the same ``order`` the one with the greater JSON text counts.
     """
     if order is None:
         updates = _last_per_key(updates.select(key, "doc"), key, None)
     else:
         # One row per (key, field), the last value of each, before any map is built.
-        fields = updates.select(key, order, F.explode("doc").alias("field", "value"))
+        fields = updates.select(key, order, F.explode_outer("doc").alias("field", "value"))
+        held = F.when(F.col("field").isNotNull(), F.struct("field", "value"))
         updates = (
             fields.groupBy(key, "field")
-            .agg(F.max_by("value", order).alias("value"))
+            .agg(F.max_by("value", F.struct(order, F.to_json("value"))).alias("value"))
             .groupBy(key)
-            .agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("doc"))
+            .agg(F.map_from_entries(F.collect_list(held)).alias("doc"))
         )
     new = updates.select(key, F.col("doc").alias("new"))
     joined = target.select(key, F.col("doc").alias("old")).join(new, key, "full")
@@ -153,37 +157,3 @@ def write_snapshot(df: DataFrame, path: str, run_ts: str | None = None) -> str:
     target = f"{path}/run_ts={run_ts}" if run_ts else path
     df.write.mode("overwrite").json(target)
     return target
-
-
-# --- Versioned tables ---------------------------------------------------------
-# Plain Parquet has no MERGE and a path must not be overwritten while it is
-# read. Each rewrite goes to a new version directory; a version counts once its
-# _SUCCESS marker is there, so a job that died leaves no half-written version.
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    if not _exists(spark, root):
-        return []
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("version=") and _exists(spark, f"{root}/{name}/_SUCCESS"):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
-
-
-def read_version(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Newest finished version of a table; no rows when there is none."""
-    versions = _versions(spark, root)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/version={versions[-1]}")
-
-
-def write_version(spark: SparkSession, root: str, df: DataFrame) -> int:
-    """Write ``df``, which may read the current version, as the next version."""
-    version = (_versions(spark, root) or [0])[-1] + 1
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
-    return version

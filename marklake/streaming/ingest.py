@@ -34,12 +34,12 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run the ingest workflow on every micro-batch of ``captures`` and stop when all is read.
 
-    The captures of a conversation should arrive in one batch, as one capture
-    session writes them. Those that come once it is in the ledger are kept, with
-    the reason, in the ``late`` table (``late_captures``). A batch that is replayed after a failure rewrites its
-    own run and changes nothing else. Runs carry ``name``, by default a hash of
-    the checkpoint's path, so streams with one state folder stay apart; a stream
-    that starts over in the same place needs another name.
+    The captures of a conversation may arrive in any number of batches: a batch extracts the conversations it touches
+    from all their captures so far, and the newest extraction is the latest document. A capture that comes again under its
+    number replaces the stored one. A batch that is replayed after a failure rewrites its own run and changes nothing
+    else. With ``pages`` the captures of ids that aren't saved go to the ``late`` table (``late_captures``). Runs carry
+    ``name``, by default a hash of the checkpoint's path, so streams with one state folder stay apart; a stream that
+    starts over in the same place needs another name.
     """
     stream = name or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 

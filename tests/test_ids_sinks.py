@@ -77,7 +77,7 @@ def test_skip_processed(spark):
     assert sorted(r.conv_id for r in ids.skip_processed(inputs, outputs).collect()) == ["b", "c"]
 
 
-def test_upserts(spark, tmp_path):
+def test_upserts(spark):
     target = spark.createDataFrame([("1", '{"a":1,"b":"x"}'), ("2", '{"a":2}')], "id string, raw string")
     updates = spark.createDataFrame(
         [("1", 2, '{"b":{"n":[1]},"c":null}'), ("1", 1, '{"b":"old","d":4}'), ("3", 1, '{"z":true}')],
@@ -93,14 +93,30 @@ def test_upserts(spark, tmp_path):
     change = spark.createDataFrame([("1", '{"a":1,"b":"x"}'), ("2", "{}"), ("9", "{}")], "id string, raw string")
     assert tuple(tables.upsert_action_counts(target, change, "id").first()) == (1, 1, 1)
 
-    root, schema = str(tmp_path / "table"), "id string, raw string"
-    assert tables.read_version(spark, root, schema).count() == 0
-    tables.write_version(spark, root, target)
-    current = tables.read_version(spark, root, schema)
-    assert tables.write_version(spark, root, tables.upsert_documents(current, change, "id")) == 2
-    assert tables.read_version(spark, root, schema).count() == 3
-    (tmp_path / "table" / "version=3").mkdir()
-    assert tables.read_version(spark, root, schema).count() == 3
+
+def test_upserts_of_empty_documents_and_ties(spark):
+    doc = tables.parse_document(F.col("raw")).alias("doc")
+    old = spark.createDataFrame([("1", '{"a":1}'), (None, '{"n":1}')], "id string, raw string").select("id", doc)
+    rows = [("1", 1, "{}"), ("2", 1, "{}"), ("3", 1, "{}"), ("3", 2, '{"x":1}'), ("4", 1, '{"x":"a"}'), ("4", 1, '{"x":"b","y":1}'), ("5", None, '{"x":1}')]
+    new = spark.createDataFrame(rows, "id string, seq int, raw string")
+    for _ in range(2):
+        merged = tables.upsert_raw(old, new.repartition(3).select("id", "seq", doc), "id", order="seq")
+        found = {r.id: json.loads(r.j) for r in merged.select("id", F.to_json("doc").alias("j")).collect()}
+        assert found == {"1": {"a": 1}, None: {"n": 1}, "2": {}, "3": {"x": 1}, "4": {"x": "b", "y": 1}, "5": {"x": 1}}
+        whole = tables.upsert_documents(new.drop("seq").limit(0), new.repartition(3), "id", order="seq").collect()
+        assert {r.id: r.raw for r in whole} == {"1": "{}", "2": "{}", "3": '{"x":1}', "4": '{"x":"b","y":1}', "5": '{"x":1}'}
+    alone = spark.createDataFrame([(1, 5), (1, 7)], "id int, seq int")
+    assert [tuple(r) for r in tables.upsert_documents(alone.select("id").limit(0), alone, "id", order="seq").collect()] == [(1,)]
+
+
+def test_failure_streaks_of_null_sources(spark):
+    rows = [(None, i, f"n{i}", False) for i in range(10)] + [("s", i, f"s{i}", False) for i in range(10)]
+    df = spark.createDataFrame(rows, "source string, seq bigint, tweet_id string, ok boolean")
+    for size in (3, 100):
+        found = attempts.failure_streaks(df, n=5, stretch=F.expr(f"seq div {size}")).collect()
+        assert sorted(r.tweet_id for r in found) == ["n4", "s4"]
+    unplaced = spark.createDataFrame([("s", None, "u", False)] + rows[10:13], df.schema)
+    assert [r.tweet_id for r in attempts.failure_streaks(unplaced, n=2).collect()] == ["s0"]
 
 
 def test_snapshots(spark, tmp_path):
@@ -189,3 +205,21 @@ def test_bookmark_tree(spark, tmp_path):
         files.read_browser_bookmarks(spark, str(tmp_path), "netscape")
     with pytest.raises(ValueError):
         files.read_browser_bookmarks(spark, str(tmp_path / "Snapshots"), "chrome")
+
+
+def test_deep_tree_beside_flat_ones(spark):
+    leaf = lambda n: {"type": "url", "name": n, "url": f"https://{n}", "date_added": "13350000000000000"}
+    deep = {"type": "folder", "name": "d", "children": [leaf("bottom")]}
+    for n in range(200):
+        deep = {"type": "folder", "name": f"d{n}", "children": [deep, *([leaf(f"beside{n}")] if n % 100 == 0 else [])]}
+    rows = [("deep", json.dumps({"roots": {"bar": deep}}))]
+    rows += [(f"flat{i}", json.dumps({"roots": {"bar": {"type": "folder", "name": "b", "children": [leaf(f"f{i}")]}}})) for i in range(300)]
+    files_ = spark.createDataFrame(rows, "file string, raw string").repartition(4)
+    good, failed = bookmark_tree.flatten_bookmark_tree(files_, levels=10)
+    found = good.collect()
+    assert failed.count() == 0 and len(found) == 300 + 1 + 2
+    bottom = next(r for r in found if r.name == "bottom")
+    assert len(bottom.path) == 202 and bottom.folder == "d" and bottom.folder_path[0] == "d199"
+    assert {r.name for r in found if r.file == "flat7"} == {"f7"}
+    # The plan holds one round, not one generator for each level of the deepest file.
+    assert good._jdf.queryExecution().logical().toString().count("Generate") == 0

@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pytest
 
@@ -9,7 +10,10 @@ from marklake.operators.conversations import assemble_conversations, extract_con
 from marklake.operators.posts import extract_posts
 from marklake.operators.validate import validate_conversations
 from marklake.plans.batch import extract_batch
-from marklake.plans.ingest import late_captures, latest_documents, run_ingest, run_ledger
+from marklake.plans import batch, ingest
+from marklake.plans.ingest import compact_state, late_captures, latest_documents, run_ingest, run_ledger
+from marklake.sinks.ledger import open_ledger
+from marklake.sinks.raw import append_documents, compact_documents, current_documents
 from marklake.sources.files import read_captures, read_conversations
 from marklake.streaming.ingest import capture_stream, ingest_stream
 from payloads import document, frame, main, media, post, reply, without
@@ -69,13 +73,16 @@ def test_ingest_retries_failures_only(spark, tmp_path):
     assert [r.tweet_id for r in run_ledger(spark, state).collect()] == ["a"]
     assert [(r.tweet_id, r.key, r.location) for r in first.media.collect()] == [("1", "1/m1.jpg", "s3://media/1/m1.jpg")]
 
+    # A capture of "a" is replaced by one that can't be used: its earlier document stays the latest one.
     second = run_ingest(spark, saved, captures(spark, ("a", 0, BAD), ("b", 0, GOOD)), state, run_id="2")
     assert [r.conv_id for r in second.documents.collect()] == ["b"]
+    assert [(r.conv_id, r.stage) for r in second.failures.collect()] == [("a", "validate")]
     assert sorted(r.conv_id for r in latest_documents(spark, state).collect()) == ["a", "b"]
     assert sorted(r.tweet_id for r in run_ledger(spark, state).collect()) == ["a", "b"]
+    assert [r.tweet_id for r in second.processed.collect()] == ["b"]
 
     # The same again changes nothing, whether under a new or under the old name.
-    third = run_ingest(spark, saved, captures(spark, ("a", 0, GOOD), ("b", 0, GOOD)), state, run_id="3")
+    third = run_ingest(spark, saved, captures(spark, ("a", 0, BAD), ("b", 0, GOOD)), state, run_id="3")
     assert third.documents.count() == third.media.count() == 0
     run_ingest(spark, saved, captures(spark, ("b", 0, GOOD)), state, run_id="2")
     assert sorted(r.conv_id for r in latest_documents(spark, state).collect()) == ["a", "b"]
@@ -188,6 +195,36 @@ def test_batch_repeated_under_its_own_run(spark, tmp_path):
     assert extract_batch(spark, raw, out, "2").documents.count() == 0
 
 
+def test_batch_reads_no_old_text(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    raw = spark.createDataFrame([(c, json.dumps(GOOD)) for c in ("a", "b+c d", "e")] + [("bad", "{}")], "conv_id string, raw string")
+    extract_batch(spark, raw, out, "1")
+    opened = []
+    read = batch._documents_in
+    monkeypatch.setattr(batch, "_documents_in", lambda *a: opened.append(sorted(r.file for r in a[2].collect())) or read(*a))
+    done = batch.finished_ids(spark, out, "2")
+    assert sorted(r.conv_id for r in done.collect()) == ["a", "b+c d", "e"] and opened == []
+    plan = done._jdf.queryExecution().toString()
+    assert "parquet" in plan and "FileScan text" not in plan and "FileScan json" not in plan
+    second = extract_batch(spark, raw, out, "2")
+    assert second.documents.count() == 0 and all(f.startswith("run=2/") for files in opened for f in files)
+    # A file that changed is read, the others aren't; its ids are noted once.
+    path = next(p for p in (tmp_path / "out" / "documents" / "run=1").glob("part-*") if p.read_text())
+    lost = {json.loads(x)["conv_id"] for x in path.read_text().splitlines()}
+    path.write_text("damaged")
+    (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    for _ in range(2):
+        opened.clear()
+        done = batch.finished_ids(spark, out, "3")
+        assert {r.conv_id for r in done.collect()} == {"a", "b+c d", "e"} - lost
+        assert opened in ([[f"run=1/{path.name}"]], [])
+    assert opened == []
+    assert {r.conv_id for r in extract_batch(spark, raw, out, "3").documents.collect()} == lost
+    # Without any manifest everything is read once.
+    shutil.rmtree(f"{out}/manifest")
+    assert {r.conv_id for r in batch.finished_ids(spark, out, "4").collect()} == {"a", "b+c d", "e"}
+
+
 def test_two_streams_keep_apart(spark, tmp_path):
     state = str(tmp_path / "state")
     for name in "ab":
@@ -198,17 +235,127 @@ def test_two_streams_keep_apart(spark, tmp_path):
     assert sorted(r.conv_id for r in latest_documents(spark, state).collect()) == ["a", "b"]
 
 
-def test_late_captures_are_kept(spark, tmp_path):
+def replies_of(spark, state):
+    return {(r.conv_id, r.run): [p.text for p in r.replies] for r in latest_documents(spark, state).collect()}
+
+
+def answer(text):
+    return document(reply(post(text, text)))
+
+
+@pytest.mark.parametrize("with_pages", [False, True])
+def test_late_captures_are_merged(spark, tmp_path, with_pages):
     state = str(tmp_path / "state")
-    first = run_ingest(spark, None, captures(spark, ("a", 0, GOOD)), state, run_id="1")
+    saved = pages(spark, "a", "b") if with_pages else None
+    first = run_ingest(spark, saved, captures(spark, ("a", 0, GOOD)), state, run_id="1")
     assert first.late.count() == 0 and first.processed.count() == 1
-    later = captures(spark, ("a", 1, GOOD), ("b", 0, GOOD), (None, 0, GOOD))
-    for _ in range(2):
-        second = run_ingest(spark, None, later, state, run_id="2")
-        assert [r.conv_id for r in second.documents.collect()] == ["b"]
+    later = captures(spark, ("a", 1, answer("three")), ("b", 0, GOOD), (None, 0, GOOD), *([("x", 0, GOOD)] if with_pages else []))
+    for _ in range(1 if with_pages else 2):
+        second = run_ingest(spark, saved, later, state, run_id="2")
+        assert sorted(r.conv_id for r in second.documents.collect()) == ["a", "b"]
+        assert [r.tweet_id for r in second.processed.collect()] == ["b"]
+        assert replies_of(spark, state) == {("a", "2"): ["two", "three"], ("b", "2"): ["two"]}
         found = {(r.conv_id, r.capture_no, r.reason, json.loads(r.raw) == {"data": GOOD}) for r in late_captures(spark, state).collect()}
-        assert found == {("a", 1, "already in the ledger", True), (None, 0, "no id", True)}
+        assert found == {(None, 0, "no id", True), *([("x", 0, "not saved", True)] if with_pages else [])}
     assert sorted(r.tweet_id for r in run_ledger(spark, state).collect()) == ["a", "b"]
+    if with_pages:
+        return
+    # A capture that comes again under its number replaces the stored one; one that didn't change costs nothing.
+    again = captures(spark, ("a", 1, answer("four")), ("b", 0, GOOD))
+    third = run_ingest(spark, saved, again, state, run_id="3")
+    assert [r.conv_id for r in third.documents.collect()] == ["a"]
+    assert replies_of(spark, state) == {("a", "3"): ["two", "four"], ("b", "2"): ["two"]}
+    # The earlier run, repeated now, doesn't bring the old version back.
+    run_ingest(spark, saved, later, state, run_id="2")
+    assert replies_of(spark, state)["a", "3"] == ["two", "four"]
+
+
+def test_late_captures_after_compaction(spark, tmp_path):
+    state = str(tmp_path / "state")
+    run_ingest(spark, None, captures(spark, ("a", 0, GOOD), ("b", 0, BAD), (None, 0, GOOD)), state, run_id="1")
+    run_ingest(spark, None, captures(spark, ("a", 1, answer("three")), ("c", 0, GOOD)), state, run_id="2")
+    before = replies_of(spark, state)
+    compact_state(spark, state)
+    assert {k[0]: v for k, v in replies_of(spark, state).items()} == {k[0]: v for k, v in before.items()}
+    # Only the bases are read from here on.
+    for table in ("captures", "raw", "extracted"):
+        for run in "12":
+            shutil.rmtree(f"{state}/{table}/run={run}")
+    # The failed conversation gets a main post, the others a reply; a run of the base counts as new when it is repeated.
+    run_ingest(spark, None, captures(spark, ("a", 2, answer("four")), ("b", 0, GOOD)), state, run_id="2")
+    found = {k[0]: v for k, v in replies_of(spark, state).items()}
+    assert found == {"a": ["two", "three", "four"], "b": ["two"], "c": ["two"]}
+    assert sorted(r.tweet_id for r in run_ledger(spark, state).collect()) == ["a", "b", "c"]
+    fields = current_documents(spark, state, ("conv_id", "part")).collect()
+    assert {r.conv_id for r in fields} == {"a", "b", "c"}
+    entries = {r.conv_id: json.loads(r.raw)["threaded_conversation_with_injections_v2"]["instructions"][0]["entries"] for r in fields}
+    assert [len(entries[c]) for c in "abc"] == [4, 2, 2]
+
+
+def test_order_of_runs_does_not_depend_on_file_times(spark, tmp_path):
+    state = str(tmp_path / "state")
+    for run, text in (("z", "old"), ("a", "new")):
+        run_ingest(spark, None, captures(spark, ("a", 0, GOOD), ("a", 1, answer(text))), state, run_id=run)
+    for path in (tmp_path / "state").rglob("*"):
+        os.utime(path, (2_000_000_000, 2_000_000_000) if "run=z" in str(path) else (1, 1))
+    assert replies_of(spark, state) == {("a", "a"): ["two", "new"]}
+
+
+def test_run_reads_captures_of_touched_buckets_only(spark, tmp_path):
+    state = str(tmp_path / "state")
+    run_ingest(spark, None, captures(spark, *[(f"c{i}", 0, GOOD) for i in range(40)]), state, run_id="1")
+    history = ingest.read_runs(spark, state, "captures", schema=ingest.STORED_DDL)
+    ids = spark.createDataFrame([("c7",)], "conv_id string")
+    pruned = ingest._in_buckets_of(history, ids)
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "bucket" in filters and 1 <= pruned.count() < 40
+
+
+def test_ledger_is_not_moved_by_the_difference(spark, tmp_path):
+    ledger = open_ledger(spark, str(tmp_path / "it's" / "ledger"), buckets=4)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "tweet_id string")
+    ledger.append(ids("a", "b", "a", None), "1")
+    assert sorted(r.tweet_id for r in ledger.append(ids("b", "c"), "2").collect()) == ["c"]
+    ledger = open_ledger(spark, str(tmp_path / "it's" / "ledger"), buckets=99)  # it keeps its own number
+    assert ledger.buckets == 4 and sorted(r.tweet_id for r in ledger.rows("2").collect()) == ["a", "b"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pending = ledger.pending(ids("a", "x", "x", None))
+        assert [r.tweet_id for r in pending.collect()] == ["x"]
+        plan = pending._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan.split("Initial Plan")[0]
+    right = final[final.index("FileScan parquet"):]
+    assert "Bucketed: true" in right and "SelectedBucketsCount: 4 out of 4" in right
+    between = final[: final.index("FileScan parquet")].rsplit("Scan ExistingRDD", 1)[-1]
+    assert "Exchange" not in between and "Shuffle" not in between
+
+
+def test_raw_documents_are_merged_by_field(spark, tmp_path):
+    state = str(tmp_path / "state")
+    docs = lambda *rows: spark.createDataFrame(rows, "conv_id string, seq int, raw string")
+    read = lambda: {r.conv_id: json.loads(r.raw) for r in current_documents(spark, state).collect()}
+    with pytest.raises(ValueError):
+        current_documents(spark, state)
+    append_documents(spark, state, docs(("a", 1, '{"x":1,"y":"5","z":null}'), ("b", 1, "{}"), (None, 1, '{"x":0}'), ("t", 1, "no json")).drop("seq"), "1")
+    assert read() == {"a": {"x": 1, "y": "5", "z": None}, "b": {}, None: {"x": 0}, "t": {}}
+    update = docs(("a", 1, '{"x":{"q\\"":[1,"é"]}}'), ("a", 2, '{"w":true,"x":{"deep":[]}}'), ("c", 1, '{"b":1,"a":2}'))
+    with pytest.raises(Exception, match="need an order"):
+        append_documents(spark, state, update.drop("seq"), "2")
+    merged = {"a": {"w": True, "x": {"deep": []}, "y": "5", "z": None}, "b": {}, None: {"x": 0}, "t": {}, "c": {"a": 2, "b": 1}}
+    for _ in range(2):
+        append_documents(spark, state, update, "2", order="seq")
+        assert read() == merged
+    assert compact_documents(spark, state) == 2
+    shutil.rmtree(f"{state}/raw/run=1")
+    shutil.rmtree(f"{state}/raw/run=2")
+    assert read() == merged
+    append_documents(spark, state, docs(("b", 1, '{"n":1}')).drop("seq"), "3")
+    assert read() == {**merged, "b": {"n": 1}}
+    with pytest.raises(ValueError):
+        append_documents(spark, state, docs(("b", 1, "{}")).drop("seq"), "base-7")
 
 
 def test_jobs_reject_what_the_model_rejects(spark, tmp_path):

@@ -647,9 +647,9 @@ def validation_paths(spark, sf_dir):
     return bad.select("conv_id", F.array_join("violations", ",").alias("violations"))
 
 
-def capture_rows(spark, sf_dir, result_json=None):
+def capture_rows(spark, sf_dir, result_json=None, per_capture=3):
     """Each conversation in captures of up to three turns."""
-    rows = table(spark, sf_dir, "conversations").withColumn("capture_no", F.expr("cast(turn div 3 as int)"))
+    rows = table(spark, sf_dir, "conversations").withColumn("capture_no", F.expr(f"cast(turn div {per_capture} as int)"))
     body = item(json(turn_post()) if result_json is None else result_json)
     one = F.when(F.col("turn") == 0, entry(F.concat(F.lit("tweet-"), turn_id()), body)).otherwise(
         module_entry(F.concat(F.lit("conversationthread-"), turn_id()), body)

@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from marklake.operators import attempts, bookmark_tree, fetch, media as media_ops, posts
+from marklake.model import ROOT_KEY
 from marklake.plans import batch, ingest
 from marklake.plans.media import run_media
-from marklake.sinks import tables
+from marklake.sinks import raw, tables
 from marklake.streaming.ingest import capture_stream, ingest_stream
 from workload.core import capture_rows
 from workload.registry import query, work_dir
@@ -507,13 +508,7 @@ def _shown(documents):
 def ingest_job(spark, sf_dir):
     state = work_dir(spark, "ingest")
     captures = capture_rows(spark, sf_dir)
-    saved = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-    page = F.concat(
-        F.lit('{"data":{"bookmark_timeline_v2":{"timeline":{"instructions":[{"entries":[{"entryId":"tweet-'),
-        F.col("conv_id").cast("string"),
-        F.lit('"}]}]}}}}'),
-    )
-    pages = saved.select(page.alias("raw"))
+    pages = _saved_pages(spark, sf_dir, F.lit(True))
     ingest.run_ingest(spark, pages, captures, state, run_id="1")
     # The second run finds every id in the ledger and adds nothing.
     ingest.run_ingest(spark, pages, captures, state, run_id="2")
@@ -529,23 +524,127 @@ def ingest_stream_job(spark, sf_dir):
     return _shown(ingest.latest_documents(spark, f"{state}/state"))
 
 
+def _saved_pages(spark, sf_dir, where):
+    """A page for each saved conversation."""
+    saved = table(spark, sf_dir, "conversations").where("turn = 0").where(where)
+    page = F.concat(
+        F.lit('{"data":{"bookmark_timeline_v2":{"timeline":{"instructions":[{"entries":[{"entryId":"tweet-'),
+        F.col("conv_id").cast("string"),
+        F.lit('"}]}]}}}}'),
+    )
+    return saved.select(page.alias("raw"))
+
+
+def _late_streams(spark, sf_dir, name, pages=None):
+    """Two streams into one state; the second one brings what the first one's conversations lack."""
+    state = work_dir(spark, name)
+    arrived = capture_rows(spark, sf_dir)
+    for stream, rows in (("a", arrived.where("capture_no = 0")), ("b", arrived.where("capture_no > 0"))):
+        rows.write.json(f"{state}/incoming-{stream}")
+        arriving = capture_stream(spark, f"{state}/incoming-{stream}")
+        ingest_stream(arriving, f"{state}/state", f"{state}/checkpoint-{stream}", name=stream, pages=pages).awaitTermination()
+    late = ingest.late_captures(spark, f"{state}/state").groupBy("conv_id").agg(F.count("*").alias("n_late"))
+    shown = _shown(ingest.latest_documents(spark, f"{state}/state"))
+    return shown.join(late, "conv_id", "full").withColumn("n_late", F.coalesce("n_late", F.lit(0).cast("bigint")))
+
+
+@query("ingest_late", f"SELECT *, 0::BIGINT AS n_late FROM ({_CONVERSATIONS})")
+def ingest_late(spark, sf_dir):
+    return _late_streams(spark, sf_dir, "late")
+
+
+@query(
+    "ingest_late_pages",
+    f"""SELECT conv_id, CASE WHEN s THEN main_text END AS main_text, CASE WHEN s THEN n_replies END AS n_replies,
+               CASE WHEN s THEN 0 ELSE n_replies // 3 + 1 END AS n_late
+        FROM (SELECT *, conv_id::BIGINT % 3 > 0 AS s FROM ({_CONVERSATIONS}))""",
+)
+def ingest_late_pages(spark, sf_dir):
+    """Two thirds of the conversations are saved; the captures of the others are kept as they are."""
+    return _late_streams(spark, sf_dir, "late_pages", _saved_pages(spark, sf_dir, "conv_id % 3 > 0"))
+
+
 @query(
-    "ingest_late",
+    "ingest_recaptured",
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, count(*)::BIGINT AS n_posts,
+              string_agg(CASE WHEN turn < 3 AND conv_id % 2 = 0 THEN 'again ' ELSE '' END || text, '|' ORDER BY turn) AS texts
+       FROM conversations GROUP BY conv_id""",
+)
+def ingest_recaptured(spark, sf_dir):
+    """Of every second conversation the first capture comes again, with other texts, after a compaction."""
+    state = work_dir(spark, "recaptured")
+    ingest.run_ingest(spark, None, capture_rows(spark, sf_dir), state, run_id="1")
+    ingest.compact_state(spark, state)
+    changed = turn_post(F.concat(F.lit("again "), F.col("text")))
+    again = capture_rows(spark, sf_dir, json(changed)).where("capture_no = 0 AND conv_id % 2 = 0")
+    ingest.run_ingest(spark, None, again, state, run_id="2")
+    found = ingest.latest_documents(spark, state)
+    texts = F.array_join(F.concat(F.array("main_tweet.text"), F.transform("replies", lambda r: r["text"])), "|")
+    return found.select("conv_id", (F.size("replies") + 1).cast("bigint").alias("n_posts"), texts.alias("texts"))
+
+
+@query(
+    "ingest_parts",
     """SELECT CAST(conv_id AS VARCHAR) AS conv_id, max(CASE WHEN turn = 0 THEN text END) AS main_text,
-              count(*) FILTER (turn BETWEEN 1 AND 2) AS n_replies, max(turn) // 3 AS n_late
+              count(*) - 1 AS n_replies, CASE WHEN conv_id % 2 = 0 THEN count(DISTINCT turn * 40 // 64) ELSE 1 END AS n_parts
        FROM conversations GROUP BY conv_id""",
 )
-def ingest_late(spark, sf_dir):
-    # Two streams into one state; the second brings what the first one's conversations lack.
-    state = work_dir(spark, "late")
+def ingest_parts(spark, sf_dir):
+    """Captures of every second conversation are numbered so far apart that it is cut into parts."""
+    state = work_dir(spark, "parts")
+    single_turns = capture_rows(spark, sf_dir, per_capture=1)
+    number = F.when(F.col("conv_id") % 2 == 0, F.col("capture_no") * 40).otherwise(F.col("capture_no"))
+    ingest.run_ingest(spark, None, single_turns.withColumn("capture_no", number), state, run_id="1")
+    found = ingest.latest_documents(spark, state)
+    return found.groupBy("conv_id").agg(
+        F.max("main_tweet.text").alias("main_text"), F.sum(F.size("replies")).cast("bigint").alias("n_replies"), F.count("*").alias("n_parts")
+    )
+
+
+@query(
+    "ingest_raw",
+    """SELECT CAST(conv_id AS VARCHAR) AS conv_id, count(*)::BIGINT AS n_entries, CASE WHEN conv_id % 2 = 0 THEN 'b' ELSE 'a' END AS note,
+              CASE WHEN conv_id % 2 = 0 THEN NULL ELSE conv_id END AS seen FROM conversations GROUP BY conv_id""",
+)
+def ingest_raw(spark, sf_dir):
+    """Raw documents after two runs of ingest and two of another source, merged by field."""
+    state = work_dir(spark, "raw")
     arrived = capture_rows(spark, sf_dir)
-    for name, rows in (("a", arrived.where("capture_no = 0")), ("b", arrived.where("capture_no > 0"))):
-        rows.write.json(f"{state}/incoming-{name}")
-        arriving = capture_stream(spark, f"{state}/incoming-{name}")
-        ingest_stream(arriving, f"{state}/state", f"{state}/checkpoint-{name}", name=name).awaitTermination()
-    late = ingest.late_captures(spark, f"{state}/state").groupBy("conv_id").agg(F.count("*").alias("n_late"))
-    shown = _shown(ingest.latest_documents(spark, f"{state}/state"))
-    return shown.join(late, "conv_id", "left").withColumn("n_late", F.coalesce("n_late", F.lit(0).cast("bigint")))
+    ingest.run_ingest(spark, None, arrived.where("capture_no = 0"), state, run_id="1")
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    key = (F.col("conv_id").cast("string").alias("conv_id"), F.lit(0).alias("part"))
+    keys = ("conv_id", "part")
+    note = ids.select(*key, F.to_json(F.struct(F.lit("a").alias("note"), F.when(F.col("conv_id") % 2 > 0, F.col("conv_id")).alias("seen"))).alias("raw"))
+    raw.append_documents(spark, state, note, "2", keys)
+    ingest.run_ingest(spark, None, arrived.where("capture_no > 0"), state, run_id="3")
+    raw.append_documents(spark, state, ids.where("conv_id % 2 = 0").select(*key, F.lit('{"note":"b"}').alias("raw")), "4", keys)
+    merged = raw.current_documents(spark, state, keys)
+    parsed = F.from_json("raw", f"struct<`{ROOT_KEY}`:struct<instructions:array<struct<entries:array<string>>>>,note:string,seen:bigint>")
+    shown = merged.select("conv_id", parsed.alias("d"))
+    entries = F.col("d")[ROOT_KEY]["instructions"][0]["entries"]
+    return shown.select("conv_id", F.size(entries).cast("bigint").alias("n_entries"), "d.note", "d.seen")
+
+
+@query(
+    "raw_runs",
+    """SELECT o_orderkey, o_orderpriority AS kept, CASE WHEN o_orderstatus = 'F' THEN 'one' WHEN o_orderstatus = 'P' THEN 'three' ELSE 'two' END AS shared,
+              CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS added FROM orders""",
+)
+def raw_runs(spark, sf_dir):
+    """Three runs of raw documents, compacted after the second one."""
+    state = work_dir(spark, "raw_runs")
+    orders = table(spark, sf_dir, "orders")
+
+    def add(run, rows, **fields):
+        text = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+        raw.append_documents(spark, state, rows.select("o_orderkey", text.alias("raw")), run, ("o_orderkey",))
+
+    add("1", orders, kept=F.col("o_orderpriority"), shared=F.lit("one"))
+    add("2", orders.where("o_orderstatus <> 'F'"), shared=F.lit("two"), added=F.col("o_orderstatus"))
+    raw.compact_documents(spark, state, ("o_orderkey",))
+    add("3", orders.where("o_orderstatus = 'P'"), shared=F.lit("three"))
+    merged = raw.current_documents(spark, state, ("o_orderkey",))
+    return merged.select("o_orderkey", F.from_json("raw", "struct<kept:string,shared:string,added:string>").alias("d")).select("o_orderkey", "d.*")
 
 
 @query("batch_rerun", "SELECT conv_id || '_' || turn AS conv_id, text AS main_text FROM conversations")
