@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from marklake.llm import langid, periodic, prefixtrie, queries
+from marklake.llm import chat, langid, periodic, prefixtrie, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -233,3 +233,54 @@ def test_node_table_is_minimal_and_checked():
     with pytest.raises(ValueError):
         table.slots(rnd.integers(0, 1 << 63, size=(100, 2), dtype=np.uint64))
     assert len(prefixtrie.NodeTable(digests[:0]).held) == 0
+
+
+# --- Chat formatting at any length ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 64, 70, 200])
+def test_prefixes_are_those_of_the_whole_conversation(spark, n):
+    def once(turns):
+        return "<BOS>" + "".join(f"[{r}]{t}." for r, t in turns)
+
+    def forgets_after(k):
+        return lambda turns: once(turns[-k:])
+
+    data = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t}") for c in (1, 2) for t in range(n)]
+    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    held = {c: [(r, x) for i, _, r, x in data if i == c] for c in (1, 2)}
+    for template in (once, forgets_after(64), forgets_after(149), chat.instruction_template):
+        got = {r.conv_id: r for r in chat.format_conversations(turns, template).collect()}
+        assert len(got) == 2
+        for c, mine in held.items():
+            r = got[c]
+            outputs = [template(mine[:k]) for k in range(n + 1)]
+            rewrites = next((k for k in range(n) if not outputs[k + 1].startswith(outputs[k])), -1)
+            assert (r.n_turns, r.formatted, r.rewritten) == (n, outputs[n], rewrites)
+            if rewrites >= 0:
+                assert set(r.span_start) | set(r.span_end) | set(r.text_start) == {-1}
+                continue
+            assert list(zip(r.span_start, r.span_end)) == [(len(a), len(b)) for a, b in zip(outputs, outputs[1:])]
+            texts = [r.formatted[a:b] if a >= 0 else None for a, b in zip(r.text_start, r.text_end)]
+            assert texts == [t if role == "assistant" else None for role, t in mine]
+    assert forgets_after(64)(held[1]) == once(held[1][-64:])
+    short = chat.format_conversations(turns, once, most_rendered=50).collect()
+    assert all((r.formatted is None and r.rewritten is None and r.n_turns == n) == (n > 1) for r in short)
+    assert {r.turns_sha256 is None for r in chat.read_back(chat.format_conversations(turns, most_rendered=50)).collect()} == {n > 1}
+
+
+def test_op3_formats_every_conversation(spark):
+    rows = spark.read.parquet(f"{SMALL}/conversations.parquet").collect()
+    convs = defaultdict(list)
+    for r in rows:
+        convs[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    text = "</s>[INST] ok [/INST]"
+    convs[-1] = [(0, "user", text), (1, "assistant", text)]
+    got = {r.conv_id: r for r in queries.QUERIES["op3_chat_formatting"](spark, SMALL).collect()}
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        whole = "".join(f"{r}\n{t}\n" for _, r, t in turns)
+        assert got[c].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest() and got[c].n_turns == len(turns)
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
