@@ -312,6 +312,8 @@ def prefix_trie(turns: DataFrame, borrow: Column | None = None, base: Column | N
     nodes = paths.groupBy("digest").agg(
         F.count("*").alias("n_convs"), F.min("conv_id").alias("owner"), F.count_if("ends").alias("n_ends")
     )
+    # Written, so that the join below reads it by an exchange of its own and may split the paths of a hot node.
+    nodes = stage(nodes, "nodes")
     parts = _shard_parts(paths, nodes)
     everything = parts.unionByName(_end_digests(paths), allowMissingColumns=True)
     facts = ("conv_id", "depth", "parent_conv_id", "n_convs")
