@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marklake.sources.arrays import read_array_elements
+
 LEDGER_DDL = "tweet_id string, created_at timestamp"
 
 # Browsers whose bookmark files are understood.
@@ -17,12 +19,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _whole_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    reader = spark.read.options(wholetext=True, **options)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    # An argument, not an option: the argument's default would override the option.
+    return spark.read.options(**options).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+
 
+def read_bookmark_pages(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
+    """Export pages: ``file, page_no, raw``. Each ``*.json`` file is an array of pages.
 
-def read_bookmark_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Export pages: ``file, page_no, raw``. Each ``*.json`` file is an array of pages."""
+    A file is one row on its way, which ends at 2 GB. With ``large`` files are read in splits, in two passes, and may be of
+    any size; the rows are the same.
+    """
+    if large:
+        elements = read_array_elements(spark, path, pathGlobFilter="*.json")
+        return elements.withColumnRenamed("pos", "page_no")
     files = _whole_files(spark, path, pathGlobFilter="*.json")
     return files.select(
         "file", F.posexplode(F.from_json("value", "array<string>")).alias("page_no", "raw")

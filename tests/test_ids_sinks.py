@@ -29,7 +29,7 @@ def test_saved_ids(spark, tmp_path):
         {"other": 1},
         7,
     ]
-    (tmp_path / "a.json").write_text(json.dumps(pages))
+    (tmp_path / "a.json").write_text(json.dumps(pages, indent=2))
     (tmp_path / "skip.txt").write_text("[]")
     read = files.read_bookmark_pages(spark, str(tmp_path))
     assert read.count() == 7
@@ -182,7 +182,7 @@ def test_bookmark_tree(spark, tmp_path):
     profile = tmp_path / "Default"
     (tmp_path / "Snapshots" / "1").mkdir(parents=True)
     profile.mkdir()
-    (profile / "Bookmarks").write_text(json.dumps(tree()))
+    (profile / "Bookmarks").write_text(json.dumps(tree(), indent=3))
     (profile / "AccountBookmarks").write_text(json.dumps({"roots": {}}))
     (profile / "Other").write_text("{}")
     (tmp_path / "Snapshots" / "1" / "Bookmarks").write_text(json.dumps(tree()))
@@ -210,7 +210,7 @@ def test_bookmark_tree(spark, tmp_path):
 def test_deep_tree_beside_flat_ones(spark):
     leaf = lambda n: {"type": "url", "name": n, "url": f"https://{n}", "date_added": "13350000000000000"}
     deep = {"type": "folder", "name": "d", "children": [leaf("bottom")]}
-    for n in range(200):
+    for n in range(110):
         deep = {"type": "folder", "name": f"d{n}", "children": [deep, *([leaf(f"beside{n}")] if n % 100 == 0 else [])]}
     rows = [("deep", json.dumps({"roots": {"bar": deep}}))]
     rows += [(f"flat{i}", json.dumps({"roots": {"bar": {"type": "folder", "name": "b", "children": [leaf(f"f{i}")]}}})) for i in range(300)]
@@ -219,7 +219,7 @@ def test_deep_tree_beside_flat_ones(spark):
     found = good.collect()
     assert failed.count() == 0 and len(found) == 300 + 1 + 2
     bottom = next(r for r in found if r.name == "bottom")
-    assert len(bottom.path) == 202 and bottom.folder == "d" and bottom.folder_path[0] == "d199"
+    assert len(bottom.path) == 112 and bottom.folder == "d" and bottom.folder_path[0] == "d109"
     assert {r.name for r in found if r.file == "flat7"} == {"f7"}
     # The plan holds one round, not one generator for each level of the deepest file.
     assert good._jdf.queryExecution().logical().toString().count("Generate") == 0

@@ -37,7 +37,7 @@ def test_batch(spark, tmp_path):
     source = tmp_path / "in"
     (source / "deeper").mkdir(parents=True)
     for name, doc in (("100", GOOD), ("9007199254740993", GOOD), ("bad", BAD), ("no main", document(reply(post())))):
-        (source / f"{name}.json").write_text(json.dumps(doc))
+        (source / f"{name}.json").write_text(json.dumps(doc, indent=4))
     (source / "cut.json").write_text(json.dumps(GOOD)[:-20])
     (source / "deeper" / "5.json").write_text(json.dumps(GOOD))
     raw = read_conversations(spark, str(source))
