@@ -12,6 +12,8 @@ from marklake.operators.validate import validate_conversations
 from marklake.plans.batch import extract_batch
 from marklake.plans import batch, ingest
 from marklake.plans.ingest import compact_state, late_captures, latest_documents, run_ingest, run_ledger
+from marklake.plans.workflow import run_workflow, store_media_of
+from marklake.sinks.files import FolderSink
 from marklake.sinks.ledger import open_ledger
 from marklake.sinks.raw import append_documents, compact_documents, current_documents
 from marklake.sources.files import read_captures, read_conversations
@@ -387,3 +389,32 @@ def test_repeated_keys_need_an_order(spark):
     with pytest.raises(Exception, match="need an order"):
         tables.upsert_documents(target, updates, "id").collect()
     assert [tuple(r) for r in tables.upsert_documents(target, updates.limit(1), "id").collect()] == [(1, "y")]
+
+
+def test_workflow_from_ids_to_stored_media(spark, tmp_path):
+    state, root = str(tmp_path / "state"), str(tmp_path / "media")
+    sink = FolderSink(root)
+    fetched = str(tmp_path / "fetched")
+
+    def fetcher(address):
+        with open(fetched, "a") as log:
+            log.write(f"{address}\n")
+        yield b"payload of "
+        yield address.encode()
+
+    run = lambda run_id: run_workflow(
+        spark, pages(spark, "a"), captures(spark, ("a", 0, GOOD)), state, fetcher, sink, run_id=run_id, media_root=root
+    )
+    done = run("1")
+    assert [r.conv_id for r in done.ingest.documents.collect()] == ["a"]
+    (only,) = done.media.locations.collect()
+    assert only.locations == [f"{root}/1/m1.jpg"] and open(only.locations[0]).read().startswith("payload of https://")
+    # Again: the object is there, and its location is the manifest's.
+    again = run("1")
+    assert [r.locations for r in again.media.locations.collect()] == [["s3://media/1/m1.jpg"]]
+    ids = spark.createDataFrame([("a",), ("zz",)], "tweet_id string")
+    asked = store_media_of(spark, ids, state, fetcher, sink, run_id="x", media_root=root)
+    assert [r.attempts for r in asked.results.collect()] == [0]
+    fresh = store_media_of(spark, ids, state, fetcher, sink, run_id="y")
+    assert [r.attempts for r in fresh.results.collect()] == [1]
+    assert len(open(fetched).read().splitlines()) == 2

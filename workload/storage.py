@@ -10,6 +10,7 @@ from marklake.operators import attempts, bookmark_tree, fetch, media as media_op
 from marklake.model import ROOT_KEY
 from marklake.plans import batch, ingest
 from marklake.plans.media import run_media
+from marklake.plans.workflow import run_workflow
 from marklake.sinks import raw, tables
 from marklake.streaming.ingest import capture_stream, ingest_stream
 from workload.core import capture_rows
@@ -662,3 +663,34 @@ def batch_extract(spark, sf_dir):
     output = work_dir(spark, "batch")
     done = batch.extract_batch(spark, _order_documents(spark, sf_dir), output, "1")
     return media_ops.explode_media(done.documents).select(*_MEDIA_COLUMNS)
+
+
+@query(
+    "workflow",
+    """SELECT o_orderkey::VARCHAR AS tweet_id, 0::INTEGER AS list_no,
+              string_agg(CASE WHEN m = 'p' AND o_custkey % 2 = 0 THEN 's3://media/' ELSE 'mem://' END || o_orderkey || '/' || m || o_orderkey
+                         || CASE WHEN m = 'p' THEN '.jpg' ELSE '' END, ',' ORDER BY m) AS locations
+       FROM orders, unnest(['p', 'v', 'w']) AS x(m) GROUP BY o_orderkey""",
+)
+def workflow_job(spark, sf_dir):
+    """Captures to stored media in one call; every second photo is there already."""
+    state = work_dir(spark, "workflow")
+    raw_ = _order_documents(spark, sf_dir)
+    captures = raw_.select("conv_id", F.lit(0).alias("capture_no"), F.concat(F.lit('{"data":'), "raw", F.lit("}")).alias("raw"))
+    key = _order_key()
+    objects = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(
+        F.concat(key, F.lit("/p"), key, F.lit(".jpg")).alias("key"), F.lit(7).cast("bigint").alias("length")
+    )
+    done = run_workflow(
+        spark, None, captures, state, _fetch_name, _mem_sink, run_id="1", objects=objects,
+        media_options={"retry_delay": 0.0, "partitions": spark.sparkContext.defaultParallelism},
+    )
+    return done.media.locations.withColumn("locations", F.array_join("locations", ","))
+
+
+def _fetch_name(address):
+    return address.encode()
+
+
+def _mem_sink(key, data):
+    return f"mem://{key}"
