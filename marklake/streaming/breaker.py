@@ -25,12 +25,14 @@ def watch_failures(
     *,
     n: int = 50,
     order: tuple[str, ...] = ("seq",),
+    stretch: str | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
     """Write the stops of a stream of ``attempts(source, <order..>, ok, ..)`` to ``state_dir`` and end when all is read.
 
     A batch must hold later attempts of a source than the ones before it. Of a source that is stopped the attempts that
-    still come are counted on, as the batch operator does. A replayed batch rewrites its own rows.
+    still come are counted on, as the batch operator does; ``stretch`` is an expression for its stretches. A replayed batch
+    rewrites its own rows.
     """
     stream = name or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
@@ -42,8 +44,9 @@ def watch_failures(
             # A replay must not see what later batches left.
             earlier = newest(earlier.where(F.col("run_number") < number), "source").select("source", "failures")
         rows = stage(batch, "attempts")
-        write_run(failure_streaks(rows, n, order, before=earlier), state_dir, "stops", run_id, number)
-        write_run(open_failures(rows, order, before=earlier), state_dir, "open_failures", run_id, number)
+        cut = None if stretch is None else F.expr(stretch)
+        write_run(failure_streaks(rows, n, order, cut, earlier), state_dir, "stops", run_id, number)
+        write_run(open_failures(rows, order, cut, earlier), state_dir, "open_failures", run_id, number)
 
     return (
         attempts.writeStream.foreachBatch(watch)

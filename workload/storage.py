@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marklake.operators import attempts, bookmark_tree, fetch, media as media_ops, posts
@@ -12,9 +13,12 @@ from marklake.plans import batch, ingest
 from marklake.plans.media import run_media
 from marklake.plans.workflow import run_workflow
 from marklake.sinks import raw, tables
+from marklake.sinks.files import FolderSink
+from marklake.sources.files import list_objects
+from marklake.streaming import breaker
 from marklake.streaming.ingest import capture_stream, ingest_stream
 from workload.core import capture_rows
-from workload.registry import query, work_dir
+from workload.registry import query, work_dir, written
 from workload.shapes import entities, json, media, post, single, spread_table, table, turn_id, turn_post
 
 # --- media -----------------------------------------------------------------------
@@ -244,6 +248,31 @@ def fetch_media(spark, sf_dir):
     return fetched.withColumn("attempts", F.col("attempts").cast("bigint"))
 
 
+@query(
+    "fetch_in_parts",
+    """SELECT CAST(event_id AS VARCHAR) AS media_id, CASE WHEN event_type NOT IN ('error', 'view') THEN 'k/' || event_id END AS key,
+              CASE WHEN event_type NOT IN ('error', 'view') THEN strlen(event_type || '/' || event_id)::BIGINT END AS length
+       FROM events""",
+)
+def fetch_in_parts(spark, sf_dir):
+    """Payloads in chunks of three bytes, stored in parts of eight below a shared folder."""
+    root = work_dir(spark, "parts")
+    manifest = _event_manifest(spark, sf_dir)
+    done = written(
+        fetch.fetch_media(manifest, _local_chunks, FolderSink(root), max_retries=0, retry_delay=0.0, part_bytes=8,
+                          partitions=spark.sparkContext.defaultParallelism), "fetched",
+    )
+    there = list_objects(spark, root)
+    key = F.concat(F.lit("k/"), "media_id")
+    found = done.join(there, (key == there["key"]) & F.col("location").isNotNull(), "left")
+    return found.select("media_id", "key", "length")
+
+
+def _local_chunks(address):
+    data = _local_fetch(address)
+    return (data[i : i + 3] for i in range(0, len(data), 3))
+
+
 @query(
     "stored_locations",
     """SELECT CAST(user_id AS VARCHAR) AS tweet_id, CAST(event_id // 1000 AS INTEGER) AS list_no,
@@ -396,15 +425,15 @@ def failed_ids(spark, sf_dir):
     return attempts.failed_ids(_attempts(spark, sf_dir))
 
 
-@query(
-    "failure_streaks",
-    """SELECT source, seq FROM (
-         SELECT source, seq, ok, row_number() OVER (PARTITION BY source, island, ok ORDER BY seq) AS run FROM (
-           SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, event_type <> 'error' AS ok,
-                  sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END)
-                    OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events))
-       WHERE NOT ok AND run = 2""",
-)
+_STREAKS = """SELECT source, seq FROM (
+     SELECT source, seq, ok, row_number() OVER (PARTITION BY source, island, ok ORDER BY seq) AS run FROM (
+       SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, event_type <> 'error' AS ok,
+              sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END)
+                OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events))
+   WHERE NOT ok AND run = 2"""
+
+
+@query("failure_streaks", _STREAKS)
 def failure_streaks(spark, sf_dir):
     # Short stretches, so that runs do cross from one stretch into the next.
     found = attempts.failure_streaks(
@@ -413,6 +442,18 @@ def failure_streaks(spark, sf_dir):
     return found.select("source", "seq")
 
 
+@query("failure_stops_live", _STREAKS)
+def failure_stops_live(spark, sf_dir):
+    """The same from a stream of attempts in three micro-batches."""
+    state = work_dir(spark, "stops")
+    rows = _attempts(spark, sf_dir).withColumn("third", F.ntile(3).over(Window.partitionBy("source").orderBy("seq")))
+    for third in (1, 2, 3):
+        rows.where(F.col("third") == third).drop("third").write.mode("append").json(f"{state}/incoming")
+        arriving = spark.readStream.schema(rows.drop("third").schema).json(f"{state}/incoming")
+        breaker.watch_failures(arriving, state, f"{state}/checkpoint", n=2, stretch="seq div 500").awaitTermination()
+    return breaker.stops(spark, state).select("source", "seq")
+
+
 # --- browser bookmarks ----------------------------------------------------------------
 
 
