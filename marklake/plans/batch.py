@@ -37,53 +37,63 @@ def _document_files(spark: SparkSession, output: str) -> DataFrame:
     return listed.select(file.alias("file"), "length", F.col("modificationTime").alias("modified"))
 
 
-def _documents_in(spark: SparkSession, output: str, files: DataFrame) -> DataFrame:
-    """``conv_id, file, length, modified`` of every readable line in ``files``."""
+def _lines(spark: SparkSession, output: str, files: DataFrame) -> DataFrame:
+    """``value, file``: the lines of ``files``."""
     names = [r["file"] for r in files.select("file").take(MOST_LISTED + 1)]
     if len(names) <= MOST_LISTED:  # the usual case: only these are opened
         lines = spark.read.text([f"{output}/documents/{name}" for name in names])
     else:
         lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(f"{output}/documents")
     file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)
-    ids = lines.select(F.get_json_object("value", "$.conv_id").alias("conv_id"), F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))).alias("file"), F.try_parse_json("value").isNotNull().alias("readable"))
-    return ids.where("readable").drop("readable").join(files, "file")
+    return lines.select("value", F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))).alias("file"))
+
+
+def _readable_ids(spark: SparkSession, output: str, files: DataFrame) -> DataFrame:
+    """``conv_id`` of every readable line in ``files``."""
+    lines = _lines(spark, output, files).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.get_json_object("value", "$.conv_id").alias("conv_id"), "file").join(files.select("file"), "file", "left_semi").select("conv_id")
+
+
+def _manifest(spark: SparkSession, output: str) -> DataFrame:
+    if not _exists(spark, f"{output}/manifest"):
+        return spark.createDataFrame([], f"{MANIFEST_DDL}, run string")
+    # The run names are text even when they look like numbers or dates.
+    return spark.read.schema(f"{MANIFEST_DDL}, run string").parquet(f"{output}/manifest")
+
+
+def _valid(manifest: DataFrame, listed: DataFrame) -> DataFrame:
+    """``run``: the entries all of whose files are as they were noted."""
+    there = listed.withColumn("there", F.lit(True))
+    noted = manifest.where("conv_id IS NULL").join(there, ["file", "length", "modified"], "left")
+    return noted.groupBy("run").agg(F.count_if(F.col("there").isNull()).alias("gone")).where("gone = 0").select("run")
 
 
 def finished_ids(spark: SparkSession, output: str, run_id: str) -> DataFrame | None:
     """Ids with a readable output written by other runs than ``run_id``; None when there is no output.
 
-    The manifest tells which ids a file holds, as long as the file has the length and the time that were noted. Only
-    files that changed, or that no manifest knows, are read; what they hold is noted in the manifest of this run.
+    An entry of the manifest holds the files that a run wrote, with length and time, and the ids in them. As long as its
+    files are as noted the entry counts. Files without such an entry are read, and noted in an entry of this run.
     """
     if not _exists(spark, f"{output}/documents"):
         return None
     listed = _document_files(spark, output).where(~F.col("file").startswith(f"run={run_id}/"))
-    known = None
-    if _exists(spark, f"{output}/manifest"):
-        # The run names are text even when they look like numbers or dates.
-        known = spark.read.schema(f"{MANIFEST_DDL}, run string").parquet(f"{output}/manifest").drop("run")
-        files = known.where("conv_id IS NULL").drop("conv_id")
-        unknown = listed.join(files, ["file", "length", "modified"], "left_anti")
-    else:
-        unknown = listed
+    manifest = _manifest(spark, output)
+    covered = manifest.where("conv_id IS NULL").join(_valid(manifest, listed), "run", "left_semi").select("file")
+    unknown = stage(listed.join(covered, "file", "left_anti"), "files")
     if not unknown.isEmpty():
-        note_outputs(spark, output, f"~{run_id}", unknown)
-        known = spark.read.schema(f"{MANIFEST_DDL}, run string").parquet(f"{output}/manifest").drop("run")
-    if known is None:
-        return None
-    return known.where("conv_id IS NOT NULL").join(listed, ["file", "length", "modified"], "left_semi").select("conv_id")
+        note_outputs(spark, output, f"~{run_id}", unknown, _readable_ids(spark, output, unknown))
+        manifest = _manifest(spark, output)
+    return manifest.where("conv_id IS NOT NULL").join(_valid(manifest, listed), "run", "left_semi").select("conv_id")
 
 
-def note_outputs(spark: SparkSession, output: str, entry: str, files: DataFrame) -> None:
-    """Add the ids in ``files`` to the manifest, and a row without id for each file, so that empty ones are known, too.
+def note_outputs(spark: SparkSession, output: str, entry: str, files: DataFrame, ids: DataFrame) -> None:
+    """Add an entry to the manifest: a row for each file, and one for each id in them.
 
     Bloom filters over the ids let a look-up of single ids skip most files of the manifest.
     """
-    files = stage(files, "files")
-    rows = _documents_in(spark, output, files).unionByName(files, allowMissingColumns=True)
-    rows = rows.select("conv_id", "file", "length", "modified")
-    writer = rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#conv_id", "true")
-    writer.parquet(f"{output}/manifest/run={entry}")
+    rows = files.select("file", "length", "modified").unionByName(ids.select("conv_id"), allowMissingColumns=True)
+    writer = rows.select("conv_id", "file", "length", "modified").write.mode("overwrite")
+    writer.option("parquet.bloom.filter.enabled#conv_id", "true").parquet(f"{output}/manifest/run={entry}")
 
 
 def extract_batch(
@@ -121,6 +131,7 @@ def extract_batch(
     failures = written.where(~ok).select("conv_id", "stage", "reason")
     write_conversations(documents, f"{output}/documents/run={run_id}")
     failures.write.mode("overwrite").parquet(f"{output}/failures/run={run_id}")
-    note_outputs(spark, output, run_id, _document_files(spark, output).where(F.col("file").startswith(f"run={run_id}/")))
+    own = _document_files(spark, output).where(F.col("file").startswith(f"run={run_id}/"))
+    note_outputs(spark, output, run_id, own, documents)
     attempts = written.select(F.col("conv_id").alias("tweet_id"), ok.alias("ok"))
     return BatchResult(documents, failures, batch_summary(attempts))
