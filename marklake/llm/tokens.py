@@ -4,20 +4,21 @@ No piece of the model joins a character to a space that follows it, so a text is
 run of spaces and the word after it. Within a unit the dynamic programme goes over all prefixes: the tokens of a
 prefix end in the one piece whose remainder, a shorter prefix, ends in a piece that it can stand next to. Two pieces can
 stand next to each other if merging their characters gives just them. That yields the count at every prefix at once;
-sums over units carry it through the text. Truncation and budget questions are looked up in the stored counts.
+sums over units carry it through the text. What is stored is the change of the count with every character, and the
+count at the end of every unit to get about quickly. Truncation and budget questions, to the character, are looked up there.
+
+A model that normalises texts, or puts no space in front of them, would be counted wrongly; it is refused.
 
 Fixed results: a null text counts as empty and has no tokens; repeated rows are counted each; extra columns are
-carried. A text of any length is one pass with a bounded cache of units.
+carried, one named like the result is replaced; an empty table gives an empty one. A text of any length is one pass
+with a bounded cache of units; one without spaces is a single unit.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ CACHED_UNITS = 800_000
 CACHED_PAIRS = 1_000_000
 LONG_UNIT = 64
 _UNITS = re.compile(" +[^ ]*")
+#: Texts that common normalisations change: full width, ligatures, composed letters, runs and ends of white space.
+PROBES = ("ab", " a  b ", "\uff21\ufb01\u2460", "e\u0301\u212b", "a\tb\n\u3000c\u00a0", "\u00ad\u200b", "")
 
 
 class PieceCounter:
@@ -35,6 +38,9 @@ class PieceCounter:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        for probe in PROBES:
+            if model.normalize(probe) != (SPACE + probe.replace(" ", SPACE) if probe else ""):
+                raise ValueError("this model changes texts before it encodes them")
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         #: Rank of each piece: merges of better score, then of the one further left, go first.
         self.rank = {model.id_to_piece(i): (-model.get_score(i), i) for i in plain}
@@ -46,7 +52,8 @@ class PieceCounter:
         #: Pieces that merging arrives at from their own characters.
         self.reached = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._profiles: dict[str, tuple[int, ...]] = {}
+        self._profiles: dict[str, int] = {}
+        self._steps: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short string: the best adjacent pair is merged until none is left."""
@@ -104,11 +111,29 @@ class PieceCounter:
         count, found = self.count, self._profiles.get
         return sum([n if (n := found(u)) is not None else count(u) for u in self.units(text)])
 
-    def prefixes(self, text: str) -> tuple[list[int], list[int]]:
-        """Characters up to each unit's end and the tokens of that prefix."""
-        units = self.units(text)
-        ends = np.cumsum([len(u) for u in units], dtype=np.int64) - 1  # the first unit's space isn't in the text
-        return ends.tolist(), np.cumsum([self.count(u) for u in units], dtype=np.int64).tolist()
+    def steps(self, unit: str) -> list[int]:
+        """How the count changes with each character of a unit."""
+        found = self._steps.get(unit)
+        if found is None:
+            counts = self.profile(unit)
+            found = [b - a for a, b in zip(counts, counts[1:], strict=False)]
+            if len(unit) <= LONG_UNIT:
+                if len(self._steps) >= CACHED_UNITS:
+                    self._steps.clear()
+                self._steps[unit] = found
+        return found
+
+    def prefixes(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """Characters up to each unit's end, the tokens of that prefix, and the change of the count with each character."""
+        ends, tokens, steps = [], [], []
+        for unit in self.units(text):
+            more = self.steps(unit)
+            if not ends:  # the first unit's space isn't in the text, but counts as soon as there is any
+                more = [more[0] + more[1], *more[2:]]
+            steps += more
+            ends.append(len(steps))
+            tokens.append(sum(more) + (tokens[-1] if tokens else 0))
+        return ends, tokens, steps
 
 
 @lru_cache(maxsize=4)
@@ -129,15 +154,17 @@ def with_token_counts(docs: DataFrame, model_path: str, text: str = "text", into
 
 
 def with_prefix_counts(docs: DataFrame, model_path: str, text: str = "text", into: str = "prefixes") -> DataFrame:
-    """Adds ``into``: struct of ``ends`` (characters) and ``tokens``, one entry for each unit of the text."""
-    kind = "struct<ends:array<bigint>,tokens:array<bigint>>"
+    """Adds ``into``: struct of ``ends`` (characters) and ``tokens``, one entry for each unit of the text, and ``steps``,
+    the change of the count with each character."""
+    kind = "struct<ends:array<bigint>,tokens:array<bigint>,steps:array<tinyint>>"
+    names = ["ends", "tokens", "steps"]
 
     @F.pandas_udf(kind)
     def stored(texts):
         import pandas as pd
 
         held = counter(model_path)
-        return pd.DataFrame([dict(zip(("ends", "tokens"), held.prefixes(t or ""), strict=True)) for t in texts], columns=["ends", "tokens"])
+        return pd.DataFrame([dict(zip(names, held.prefixes(t or ""), strict=True)) for t in texts], columns=names)
 
     return docs.withColumn(into, stored(F.coalesce(F.col(text), F.lit(""))))
 
@@ -147,13 +174,32 @@ def total_of(prefixes: Column) -> Column:
     return F.coalesce(F.try_element_at(prefixes["tokens"], F.lit(-1)), F.lit(0))
 
 
+def _up_to(prefixes: Column, units: Column) -> tuple[Column, Column]:
+    """Characters and tokens of so many whole units."""
+    return F.coalesce(F.get(prefixes["ends"], units - 1), F.lit(0)), F.coalesce(F.get(prefixes["tokens"], units - 1), F.lit(0))
+
+
 def within_budget(prefixes: Column, budget: int) -> Column:
-    """Characters of the longest prefix that ends with a unit and has at most ``budget`` tokens."""
-    fitting = F.size(F.filter(prefixes["tokens"], lambda t: t <= budget))
-    return F.coalesce(F.get(prefixes["ends"], fitting - 1), F.lit(0))
+    """Characters of the longest prefix of at most ``budget`` tokens.
+
+    Counts at the ends of units never fall, so that prefix ends within the first unit that doesn't fit as a whole.
+    """
+    whole = F.size(F.filter(prefixes["tokens"], lambda t: t <= budget))
+    at, tokens = _up_to(prefixes, whole)
+    stop = F.coalesce(F.get(prefixes["ends"], whole), at)
+    inner = F.slice(prefixes["steps"], (at + 1).cast("int"), (stop - at).cast("int"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), tokens.cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("best"))
+
+    def step(held: Column, change: Column) -> Column:
+        n, now = held["n"] + 1, held["tokens"] + change
+        return F.struct(n.alias("n"), now.alias("tokens"), F.when(now <= budget, n).otherwise(held["best"]).alias("best"))
+
+    return at + F.aggregate(inner, start, step)["best"]
 
 
 def tokens_at(prefixes: Column, characters: Column) -> Column:
-    """Tokens of the prefix that ends with the last whole unit within so many characters."""
+    """Tokens of the prefix of so many characters (of the whole text, if it has fewer)."""
     whole = F.size(F.filter(prefixes["ends"], lambda e: e <= characters))
-    return F.coalesce(F.get(prefixes["tokens"], whole - 1), F.lit(0))
+    at, tokens = _up_to(prefixes, whole)
+    inner = F.slice(prefixes["steps"], (at + 1).cast("int"), F.greatest(characters - at, F.lit(0)).cast("int"))
+    return tokens + F.aggregate(inner, F.lit(0).cast("bigint"), lambda held, change: held + change)

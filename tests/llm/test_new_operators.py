@@ -284,3 +284,65 @@ def test_op3_formats_every_conversation(spark):
         whole = "".join(f"{r}\n{t}\n" for _, r, t in turns)
         assert got[c].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest() and got[c].n_turns == len(turns)
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+# --- Token counts at every prefix -------------------------------------------------------------------------------------
+
+
+def test_prefix_counts_to_the_character(spark):
+    import public_tokenizers
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    from marklake.llm import tokens
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    plain = sentencepiece.SentencePieceProcessor(model_file=path)
+    count = lambda t: len(plain.encode(t))
+    rnd = random.Random(8)
+    texts = [None, "", " ", "  ", "a", " a", "ab ", "日本語の文章です。" * 60, "x" * 500, "internationalization", "▁a ▁", "é\x00😀b" * 5, "Hausboote und  Kähne\n\tim Hafen "]
+    texts += ["".join(rnd.choice(["a", "the", " ", "  ", "ing", "日", "é", "😀", "\n", "▁", "Z"]) for _ in range(40)) for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, prefixes int")
+    held = tokens.with_prefix_counts(docs.repartition(3), path).cache()
+    budgets, places = (0, 1, 7, 50, 10_000), (0, 1, 2, 5, 17, 39, 100, 499, 100_000)
+    shown = held.select(
+        "doc_id", tokens.total_of(F.col("prefixes")).alias("total"),
+        F.array(*[tokens.within_budget(F.col("prefixes"), b) for b in budgets]).alias("cut"),
+        F.array(*[tokens.tokens_at(F.col("prefixes"), F.lit(p)) for p in places]).alias("at"),
+    ).collect()
+    steps = {r.doc_id: list(r.prefixes.steps) for r in held.collect()}
+    for r in shown:
+        text = texts[r.doc_id] or ""
+        counts = [count(text[:k]) for k in range(len(text) + 1)]
+        assert [sum(steps[r.doc_id][:k]) for k in range(len(text) + 1)] == counts, text
+        assert r.total == counts[-1] and list(r.at) == [counts[min(p, len(text))] for p in places]
+        assert list(r.cut) == [max(k for k, c in enumerate(counts) if c <= b) for b in budgets], text
+    assert tokens.with_prefix_counts(docs.where("false"), path).count() == 0
+
+
+def test_a_model_that_normalises_is_refused(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    from marklake.llm import tokens
+
+    class Folding(sentencepiece.SentencePieceProcessor):
+        def normalize(self, text, **options):
+            return super().normalize(text, **options).replace("Ａ", "A")
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="changes texts"):
+        tokens.PieceCounter(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_op10_counts_what_the_library_counts(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = queries.QUERIES["op10_token_counts"](spark, SMALL).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n = len(plain.encode(texts[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
