@@ -346,3 +346,43 @@ def test_op10_counts_what_the_library_counts(spark):
     for r in got:
         n = len(plain.encode(texts[r.doc_id]))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
+
+
+# --- Foreign archives -------------------------------------------------------------------------------------------------
+
+
+def record(kind, block, content_type, **headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Type: {content_type}", *[f"{k.replace('_', '-')}: {v}" for k, v in headers.items()]]
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archives_keep_what_the_server_said(spark, tmp_path):
+    import gzip
+
+    from marklake.llm import warc
+
+    picture = bytes(range(256)) * 2 + b"\r\n\r\n"
+    head = b"HTTP/1.1 404 Not Found\r\nContent-Type: image/png\r\nX-Odd: \xff\r\nContent-Length: 516"
+    answer = head + b"\r\n\r\n" + picture
+    info = b"software: x\r\n\r\nsecond: part\r\n" + b"y" * 200
+    http = "application/http;msgtype=response"
+    one = record("warcinfo", info, "application/warc-fields", WARC_Record_ID="<i:1>") + record("warcinfo", info, "application/warc-fields", WARC_Record_ID="<i:2>")
+    one += record("response", answer, http, WARC_Record_ID="<r:1>", WARC_Date="2020-01-01T00:00:00Z", X_Record_Key="2", WARC_Payload_Digest="sha1:ABCDEF")
+    two = record("response", answer, http, WARC_Record_ID="<r:2>", X_Record_Key="1", WARC_Payload_Digest="sha1:OTHER")
+    two += record("response", head + b"\r\n\r\n" + b"z" * 516, http, WARC_Record_ID="<r:3>", X_Record_Key="3", WARC_Payload_Digest="sha1:ABCDEF")
+    two += record("revisit", head, http, WARC_Record_ID="<r:4>", X_Record_Key="4", WARC_Payload_Digest="sha1:FAR", WARC_Refers_To="<far>")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(gzip.compress(one))
+    (tmp_path / "in" / "b.warc").write_bytes(two)
+    assert warc.read_archives(spark, str(tmp_path / "in")).count() == 6
+    warc.deduplicate_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "out")).collect()}
+    assert set(got) == {"<i:1>", "<i:2>", "<r:1>", "<r:2>", "<r:3>", "<r:4>"}
+    # The digests that the archives stated don't count: equal payloads are one, different ones aren't.
+    assert (got["<r:2>"].record_type, bytes(got["<r:2>"].payload), bytes(got["<r:2>"].http)) == ("response", picture, head)
+    assert (got["<r:1>"].record_type, got["<r:1>"].refers_to, got["<r:1>"].payload_bytes) == ("revisit", "<r:2>", 516)
+    assert bytes(got["<r:1>"].http) == head and got["<r:1>"].payload_digest == hashlib.sha256(picture).hexdigest()
+    assert got["<r:3>"].record_type == "response" and bytes(got["<r:3>"].payload) == b"z" * 516
+    assert (got["<r:4>"].refers_to, got["<r:4>"].payload_digest) == ("<far>", "sha1:FAR")
+    for i in ("<i:1>", "<i:2>"):
+        assert (got[i].record_type, bytes(got[i].payload), got[i].http, got[i].content_type) == ("warcinfo", info, None, "application/warc-fields")
