@@ -280,11 +280,91 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_pipeline(spark, docs, none):
-    for start in (none, docs):
-        held = start
-        for name, stage in corpus_pipeline.STAGES:
-            held = spark.createDataFrame(stage(spark, held, "").collect(), stage(spark, held, "").schema)
-            if name != "sequence_packing":
-                assert tuple(held.columns) == corpus_pipeline.COLUMNS
-    assert held.count() > 0
+def test_pipeline_of_nothing(spark, none):
+    held = none
+    for name, stage in corpus_pipeline.STAGES:
+        held = spark.createDataFrame([], stage(spark, held, "").schema)
+        if name != "sequence_packing":
+            assert tuple(held.columns) == corpus_pipeline.COLUMNS
+
+
+def passing_lines(rows):
+    """What the quality rules keep, line by line."""
+    normal = lambda x: b" ".join(words(x)).decode().lower()
+    lines = lambda t: [x for x in (t or "").split("\n") if words(x)]
+    holders, texts = defaultdict(set), defaultdict(set)
+    for _, t, _, source, *_ in rows:
+        if lines(t):
+            texts[source].add(t)
+        for x in lines(t):
+            holders[source, normal(x)].add(t)
+    often = {k for k, v in holders.items() if len(v) > 10 and len(v) > 0.02 * len(texts[k[0]])}
+    for i, t, lang, source, n_chars, *_ in rows:
+        w = words(t)
+        at = defaultdict(list)
+        for p in range(len(w) - 7):
+            at[tuple(w[p : p + 8])].append(p)
+        repeated = {q for ps in at.values() if len(ps) > 1 for p in ps for q in range(p, p + 8)}
+        lost = [x for x in lines(t) if (source, normal(x)) in often]
+        gone = sum(len(words(x)) for x in lost)
+        if len(w) < 20 or 100 * len(repeated) > 30 * len(w) or gone > 0.5 * len(w) or len(w) - gone < 20:
+            continue
+        left = "\n".join(x for x in t.split("\n") if x not in lost) if lost else t
+        yield i, left, lang, source, len(left) if lost else n_chars
+
+
+def test_pipeline(spark, docs, rows):
+    """Each stage against brute force on what the one before it kept."""
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    shown = lambda df: Counter(map(tuple, df.collect()))
+
+    def after(name, held):
+        out = stages[name](spark, held, "")
+        assert name == "sequence_packing" or tuple(out.columns) == corpus_pipeline.COLUMNS
+        return spark.createDataFrame(out.collect(), out.schema)
+
+    common = [(1000 + i, f"Read  more Here\n{'uvw'[i % 3]}{i} " + " ".join(f"p{i}q{j}" for j in range(40)), "en", "src1", 0, "", "", "") for i in range(15)]
+    start = docs.union(spark.createDataFrame(common, docs.schema))
+    first = after("quality_rules", start)
+    assert shown(first) == Counter(passing_lines([*rows, *common])) and not any("Read" in r.text for r in first.collect())
+
+    second = after("near_duplicates", first)
+    classes = {(r.doc_id, r.class_id) for r in orderminhash.near_duplicates(first).collect()}
+    assert Counter(r.doc_id for r in second.collect()) == Counter({c for _, c in classes if c is not None}) + Counter(r.doc_id for r in first.collect() if r.doc_id is None)
+    assert not shown(second) - shown(first) and 0 < second.count() < first.count()
+
+    third = after("substring_dedup", second)
+    seen, want = set(), Counter()
+    for r in sorted(second.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
+        w = words(r.text)
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            if (key := tuple(w[p : p + 20])) in seen:
+                gone[p : p + 20] = [True] * 20
+            seen.add(key)
+        left = b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode() if any(gone) else r.text
+        want[r.doc_id, left, r.lang, r.source, len(left) if any(gone) else r.n_chars] += 1
+    assert shown(third) == want and shown(third) != shown(second)
+
+    fourth = after("source_mixing", third)
+    copies = Counter()
+    for r in mixing.mix(third).collect():
+        copies[r.doc_id, r.source] += r.copies
+    assert Counter((r.doc_id, r.source) for r in fourth.collect()) == +copies and set(shown(fourth)) <= set(shown(third))
+
+    last = after("sequence_packing", fourth).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = Counter()
+    for r in fourth.collect():
+        ids = plain.encode(r.text or "", add_special_tokens=False).ids + [2]
+        edges = [0, *range(len(ids) % 1024 or min(1024, len(ids)), len(ids) + 1, 1024)]
+        pieces.update((r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in last) == pieces
+    held = defaultdict(list)
+    for r in last:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 1024
