@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marklake.sources.arrays import read_array_elements
-from marklake.sources.listing import list_files, local_starts
+from marklake.sources.listing import list_files, local_starts, read_whole
 
 LEDGER_DDL = "tweet_id string, created_at timestamp"
 
@@ -96,14 +96,18 @@ def read_browser_bookmarks(spark: SparkSession, root: str, browser: str) -> Data
     label = browser.lower()
     if label not in BROWSERS:
         raise ValueError(f"unsupported browser: {browser}")
-    files = (
-        _whole_files(spark, root, pathGlobFilter="*Bookmarks", recursiveFileLookup=True)
-        .where(~F.contains("file", F.lit("Snapshot")))
-        .select(F.lit(label).alias("browser"), "file", F.col("value").alias("raw"))
-    )
-    if files.isEmpty():
+    starts = local_starts(spark, root)
+    if starts is None:
+        found = _whole_files(spark, root, pathGlobFilter="*Bookmarks", recursiveFileLookup=True)
+        found = found.where(~F.contains("file", F.lit("Snapshot")))
+        none = found.isEmpty()
+    else:
+        # Files are listed and opened by tasks: profiles are many small folders.
+        listed = list_files(spark, starts).where(F.col("path").endswith("Bookmarks") & ~F.contains("path", F.lit("Snapshot")))
+        none, found = listed.isEmpty(), read_whole(listed)
+    if none:
         raise ValueError(f"no bookmark files found below {root}")
-    return files
+    return found.select(F.lit(label).alias("browser"), "file", F.col("value").alias("raw"))
 
 
 def list_objects(spark: SparkSession, root: str) -> DataFrame:

@@ -223,3 +223,25 @@ def test_deep_tree_beside_flat_ones(spark):
     assert {r.name for r in found if r.file == "flat7"} == {"f7"}
     # The plan holds one round, not one generator for each level of the deepest file.
     assert good._jdf.queryExecution().logical().toString().count("Generate") == 0
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """As Spark's own index and reader give them, without an index of all files on the driver."""
+    names = ["a b", "p%20q", "plus+x", "\u00e9 \u00fc", "q\"<>[]{}|^`#", "_hid", "_k=1", ".dot", "x._COPYING_", "colon;=@&,'()!$~*"]
+    for n in names:
+        (tmp_path / n / "deeper").mkdir(parents=True)
+        (tmp_path / n / "Bookmarks").write_text(n)
+        (tmp_path / n / "deeper" / f"{n}Bookmarks").write_bytes(b"\xff\xfe" + n.encode())
+    (tmp_path / "emptyBookmarks").touch()
+    root = str(tmp_path)
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = len(f"file:{root}/")
+    listed = files.list_objects(spark, root)
+    assert sorted(map(tuple, listed.collect())) == sorted((r.path[base:], r.length) for r in plain.select("path", "length").collect())
+    assert "binaryFile" not in listed._jdf.queryExecution().toString()
+    read = files.read_browser_bookmarks(spark, root, "chrome")
+    want = spark.read.option("pathGlobFilter", "*Bookmarks").option("recursiveFileLookup", True).text(root, wholetext=True)
+    want = want.select(F.col("_metadata.file_path").alias("file"), F.hex(F.col("value").cast("binary")))
+    got = read.select("file", F.hex(F.col("raw").cast("binary")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 14
+    assert "FileScan text" not in read._jdf.queryExecution().toString()
