@@ -105,6 +105,7 @@ def extract_batch(
     with_media: bool = True,
     mode: str = KEEP,
     strict: bool = True,
+    compression: str | None = None,
     **options,
 ) -> BatchResult:
     """Extract all documents that have no readable output yet.
@@ -115,6 +116,9 @@ def extract_batch(
     a run that is repeated under its own id writes its output anew. Which ids
     are done is read from a narrow manifest; of earlier output only files that
     changed since are read (:func:`finished_ids`).
+
+    ``compression`` ('gzip', ..) is that of the JSON lines, plain text by default. Every field is written, null or not, so
+    plain lines are several times as long as what they say.
     """
     check_session(spark)
     finished = finished_ids(spark, output, run_id)
@@ -124,12 +128,12 @@ def extract_batch(
     )
     # One pass over the raw text; documents and failures are split from the result.
     results = f"{output}/results/run={run_id}"
-    built.write.mode("overwrite").parquet(results)
+    built.write.mode("overwrite").option("compression", "zstd").parquet(results)
     written = spark.read.parquet(results)
     ok = F.col("stage").isNull()
     documents = written.where(ok).select("conv_id", "main_tweet", "replies")
     failures = written.where(~ok).select("conv_id", "stage", "reason")
-    write_conversations(documents, f"{output}/documents/run={run_id}")
+    write_conversations(documents, f"{output}/documents/run={run_id}", compression=compression)
     failures.write.mode("overwrite").parquet(f"{output}/failures/run={run_id}")
     own = _document_files(spark, output).where(F.col("file").startswith(f"run={run_id}/"))
     note_outputs(spark, output, run_id, own, documents)

@@ -141,9 +141,11 @@ def append_ledger(
     new_ledger_rows(ledger, ids, now).write.mode("append").parquet(path)
 
 
-def write_conversations(documents: DataFrame, path: str, format: str = "json") -> None:
-    """Extracted conversations, one record per line (``json``) or as Parquet."""
+def write_conversations(documents: DataFrame, path: str, format: str = "json", compression: str | None = None) -> None:
+    """Extracted conversations, one record per line (``json``) or as Parquet; ``compression`` as Spark's writers take it."""
     writer = documents.write.mode("overwrite")
+    if compression is not None:
+        writer = writer.option("compression", compression)
     if format == "json":
         writer.option("ignoreNullFields", False).json(path)
     elif format == "parquet":

@@ -418,3 +418,33 @@ def test_workflow_from_ids_to_stored_media(spark, tmp_path):
     fresh = store_media_of(spark, ids, state, fetcher, sink, run_id="y")
     assert [r.attempts for r in fresh.results.collect()] == [1]
     assert len(open(fetched).read().splitlines()) == 2
+
+
+def test_batch_in_compressed_lines(spark, tmp_path):
+    out = str(tmp_path / "out")
+    raw = spark.createDataFrame([(c, json.dumps(GOOD)) for c in ("a", "b+c d")], "conv_id string, raw string")
+    assert extract_batch(spark, raw, out, "1", compression="gzip").documents.count() == 2
+    written = list((tmp_path / "out" / "documents" / "run=1").glob("part-*"))
+    assert written and all(p.name.endswith(".json.gz") for p in written)
+    assert {json.loads(r.value)["conv_id"] for r in spark.read.text(f"{out}/documents").collect()} == {"a", "b+c d"}
+    shutil.rmtree(f"{out}/manifest")
+    assert extract_batch(spark, raw, out, "2").documents.count() == 0
+
+
+def test_late_captures_move_no_other_text(spark, tmp_path, monkeypatch):
+    """Which captures are late is told by the ids that aren't asked for, few or many of them."""
+    from marklake.functions import joins
+    from marklake.plans.ingest import run_ingest
+
+    page = {"data": {"bookmark_timeline_v2": {"timeline": {"instructions": [{"entries": [{"entryId": "tweet-a"}]}]}}}}
+    pages = spark.createDataFrame([(json.dumps(page),)], "raw string")
+    raw = json.dumps({"data": GOOD})
+    captures = spark.createDataFrame([("a", 0, raw), ("b", 0, raw), ("b", 1, raw), (None, 0, raw)], "conv_id string, capture_no int, raw string")
+    for most in (10, 0):
+        monkeypatch.setattr(joins.as_lookup, "__defaults__", (most,))
+        state = str(tmp_path / f"state{most}")
+        done = run_ingest(spark, pages, captures, state, run_id="1")
+        assert [r.conv_id for r in done.documents.collect()] == ["a"]
+        late = sorted((r.conv_id or "", r.capture_no, r.reason) for r in done.late.collect())
+        assert late == [("", 0, "no id"), ("b", 0, "not saved"), ("b", 1, "not saved")]
+        assert sorted(r.r_id or "" for r in spark.read.parquet(f"{state}/refused").collect()) == ["", "b"]

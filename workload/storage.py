@@ -702,7 +702,7 @@ def batch_rerun(spark, sf_dir):
 @query("batch_extract", _CANDIDATES.replace("'https://img/v.jpg?name=orig'", "CAST(NULL AS VARCHAR)").replace("'https://img/w.jpg?name=orig'", "CAST(NULL AS VARCHAR)"))
 def batch_extract(spark, sf_dir):
     output = work_dir(spark, "batch")
-    done = batch.extract_batch(spark, _order_documents(spark, sf_dir), output, "1")
+    done = batch.extract_batch(spark, _order_documents(spark, sf_dir), output, "1", compression="gzip")
     return media_ops.explode_media(done.documents).select(*_MEDIA_COLUMNS)
 
 
