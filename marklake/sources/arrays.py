@@ -3,7 +3,8 @@
 Spark's text source cuts a file into splits at a separator, here a closing brace. A first pass finds what each split does to
 the nesting and to an open string, whichever state it starts in; summed along a file that tells the state in which each
 split starts. A second pass cuts the splits at the commas of the outermost array. Only the two pieces at the ends of a split
-have to be brought together with those of its neighbours.
+have to be brought together with those of its neighbours. Pieces and elements are staged, so each text is cut and put
+together once, whatever the number of steps that read it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marklake.storage import stage
+
 SEPARATOR = "}"
 #: Splits of files that don't fit into one; their states go to the tasks, some fifty bytes each.
 MOST_SPLITS = 200_000
@@ -175,7 +178,8 @@ def read_array_elements(spark: SparkSession, path: str, **options) -> DataFrame:
         raise ValueError(f"more than {MOST_SPLITS} splits; raise spark.sql.files.maxPartitionBytes")
     states = {(r["file"], r["start"]): (r["string"], r["depth"]) for r in found}
 
-    pieces = lines.mapInArrow(_pieces(states), PIECE_DDL)
+    # Read by several steps below, and cut once for all of them.
+    pieces = stage(lines.mapInArrow(_pieces(states), PIECE_DDL), "pieces")
     counts = pieces.where("last").select("file", "start", "n")
     before = counts.select(F.col("file").alias("b_file"), F.col("start").alias("b_start"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     placed = pieces.join(before, (F.col("file") == F.col("b_file")) & (F.col("start") == F.col("b_start")))
@@ -184,7 +188,7 @@ def read_array_elements(spark: SparkSession, path: str, **options) -> DataFrame:
     placed = placed.toDF("file", "start", "last", "text", "pos", "first")
     ends = placed.where("first OR last").groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("parts"), F.max("start").alias("at"))
     joined = ends.select("file", "pos", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
-    whole = placed.where("NOT first AND NOT last").select("file", "pos", "text").unionByName(joined)
+    whole = stage(placed.where("NOT first AND NOT last").select("file", "pos", "text").unionByName(joined), "elements")
 
     # What follows the array is the last piece of all; an array without elements is one blank piece before it.
     tail = whole.groupBy(F.col("file").alias("t_file")).agg(F.max("pos").alias("tail"))

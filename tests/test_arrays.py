@@ -62,3 +62,10 @@ def test_rows_equal_the_whole_file_reader(spark, tmp_path, small_splits):
     assert got == want and len(want) >= 50
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
     assert shown(read_bookmark_pages(spark, str(tmp_path), large=True)) == want
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"b": 2}]')
+    read = read_array_elements(spark, str(tmp_path))
+    plan = read._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "FileScan text" not in plan and read.count() == 2
