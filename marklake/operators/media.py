@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marklake.functions.joins import as_lookup
 from marklake.functions.reuse import once_per_jvm
 from marklake.functions.scalars import (
     DEFAULT_CONTENT_TYPE,
@@ -192,6 +193,12 @@ def explode_media(extracted: DataFrame) -> DataFrame:
     )
 
 
+def _listed(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is listed."""
+    wanted = ids.select(F.col("tweet_id").alias("conv_id"))
+    return documents.join(as_lookup(wanted), "conv_id", "left_semi")
+
+
 def media_for_ids(extracted: DataFrame, ids: DataFrame) -> DataFrame:
     """Media of the extracted conversations whose id is listed, main post first.
 
@@ -199,8 +206,7 @@ def media_for_ids(extracted: DataFrame, ids: DataFrame) -> DataFrame:
     reduced before the media are exploded. For raw documents see
     ``media_of_listed``.
     """
-    wanted = ids.select(F.col("tweet_id").alias("conv_id"))
-    return explode_media(extracted.join(wanted, "conv_id", "left_semi"))
+    return explode_media(_listed(extracted, ids))
 
 
 def skip_stored_media(manifest: DataFrame, objects: DataFrame) -> DataFrame:
@@ -239,6 +245,4 @@ def media_of_listed(conversations: DataFrame, ids: DataFrame, **options) -> Data
     """``media_for_ids`` straight from raw documents: only the listed ones are parsed."""
     from marklake.operators.conversations import extract_conversations
 
-    wanted = ids.select(F.col("tweet_id").alias("conv_id"))
-    listed = conversations.join(wanted, "conv_id", "left_semi")
-    return explode_media(extract_conversations(listed, with_media=True, **options))
+    return explode_media(extract_conversations(_listed(conversations, ids), with_media=True, **options))

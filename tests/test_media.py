@@ -174,3 +174,16 @@ def test_media_job(spark, tmp_path):
         assert [r.media_id for r in done.failures.collect()] == ["m2"]
         (only,) = done.locations.collect()
         assert only.locations[:2] == ["s3://b/1/m0.png", "image/png:1/m1.png"] and len(only.locations) == 299
+
+
+def test_listed_documents_are_streamed_past_the_ids(spark, monkeypatch):
+    """With few ids and with many: neither way sorts the texts, and repeated or null ids change nothing."""
+    from marklake.functions import joins
+
+    docs = spark.createDataFrame([(str(i), "x" * 9) for i in range(50)] + [(None, "n")], "conv_id string, raw string")
+    ids = spark.createDataFrame([("3",), ("3",), ("7",), ("x",), (None,)], "tweet_id string")
+    for most in (10, 2):
+        monkeypatch.setattr(joins.as_lookup, "__defaults__", (most,))
+        found = ops._listed(docs, ids)
+        assert sorted(r.conv_id for r in found.collect()) == ["3", "7"]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
