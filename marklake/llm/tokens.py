@@ -17,6 +17,7 @@ with a bounded cache of units; one without spaces is a single unit.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,10 @@ SPACE = "▁"
 CACHED_UNITS = 800_000
 CACHED_PAIRS = 1_000_000
 LONG_UNIT = 64
+#: Pieces are looked up by so many last characters; shorter ones are tried at every prefix.
+_ENDING = 3
+_SHORT = tuple(range(_ENDING - 1, 0, -1))
+_NONE = 1 << 40
 _UNITS = re.compile(" +[^ ]*")
 #: Texts that common normalisations change: full width, ligatures, composed letters, runs and ends of white space.
 PROBES = ("ab", " a  b ", "\uff21\ufb01\u2460", "e\u0301\u212b", "a\tb\n\u3000c\u00a0", "\u00ad\u200b", "")
@@ -51,18 +56,29 @@ class PieceCounter:
         self.longest = max(map(len, self.rank), default=1)
         #: Pieces that merging arrives at from their own characters.
         self.reached = {p for p in self.rank if len(p) == 1 or self.merged(p) == [p]}
+        #: Lengths of the pieces that can end a prefix, by the last characters of the prefix; longest first.
+        held: dict[str, set[int]] = defaultdict(lambda: set(_SHORT))
+        for p in self.reached:
+            if len(p) >= _ENDING:
+                held[p[-_ENDING:]].add(len(p))
+        self._lengths = {ending: tuple(sorted(sizes, reverse=True)) for ending, sizes in held.items()}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._profiles: dict[str, int] = {}
         self._steps: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short string: the best adjacent pair is merged until none is left."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if best == 1 << 40:
-                break
+        parts, rank = list(text), self.rank.get
+        pairs = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) != _NONE:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            # Only the pairs on both sides of the new piece are others than before.
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], _NONE)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], _NONE)
         return parts
 
     def _fit(self, left: str, right: str) -> bool:
@@ -76,13 +92,21 @@ class PieceCounter:
     def profile(self, unit: str) -> list[int]:
         """Tokens of the first 0, 1, 2... characters of a unit."""
         counts, last = [0], [""]
+        reached, lengths, pairs, fit = self.reached, self._lengths, self._pairs, self._fit
         for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = unit[start:end]
-                if piece in self.reached and (not last[start] or self._fit(last[start], piece)):
-                    counts.append(counts[start] + 1)
-                    last.append(piece)
-                    break
+            # Longest first, and only lengths at which some piece ends as this prefix does.
+            for size in lengths.get(unit[end - _ENDING : end] if end >= _ENDING else "", _SHORT):
+                start = end - size
+                if start < 0 or (piece := unit[start:end]) not in reached:
+                    continue
+                left = last[start]
+                if left:
+                    fits = pairs.get((left, piece))
+                    if not (fit(left, piece) if fits is None else fits):
+                        continue
+                counts.append(counts[start] + 1)
+                last.append(piece)
+                break
             else:  # a character outside the vocabulary: one token for each of its bytes, next to anything
                 counts.append(counts[end - 1] + len(unit[end - 1].encode()))
                 last.append("")

@@ -7,8 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marklake.llm import chat, langid, periodic, prefixtrie, queries
+from marklake.llm import chat, langid, periodic, prefixtrie, queries, tokens
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -386,3 +387,29 @@ def test_foreign_archives_keep_what_the_server_said(spark, tmp_path):
     assert (got["<r:4>"].refers_to, got["<r:4>"].payload_digest) == ("<far>", "sha1:FAR")
     for i in ("<i:1>", "<i:2>"):
         assert (got[i].record_type, bytes(got[i].payload), got[i].http, got[i].content_type) == ("warcinfo", info, None, "application/warc-fields")
+
+
+def test_long_conversations_are_rendered_whole(spark):
+    """Beyond any amount of renderings: turn by turn where the template says so, as a black box where it doesn't."""
+    odd = ["", "[INST] x [/INST]", "a\\\\", chat.MARK, "</s>"]
+    held = [(("user", "assistant", "system", "tool")[i % 4], odd[i % 5] + str(i)) for i in range(60)]
+    assert chat.render_by_turn(held, chat.instruction_template.turn) == chat.render(held, chat.instruction_template)
+    # Some 7,000 turns add up to more renderings than were made at all before.
+    n, text = 7000, "y" * 120
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    (r,) = chat.read_back(chat.format_conversations(rows)).collect()
+    assert (r.n_turns, r.loss_chars, r.rewritten) == (n, n // 2 * len(text), False)
+    assert r.loss_sha256 == hashlib.sha256((text * (n // 2)).encode()).hexdigest()
+
+
+def test_prefix_counts_try_few_starts():
+    """Pieces are looked up by their endings; counts are the library's at every prefix that ends a text."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counter, model = tokens.counter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert set(map(len, counter.reached)) > {3, 4} and all(len(p) in counter._lengths[p[-3:]] for p in counter.reached if len(p) > 2)
+    for text in ("internationalisation", "a\u00e9\U0001f600\u4e2d\x00b", "tokenstokens##--", "zzzzzzzzzzzz", "it's 12345,678"):
+        for end in range(1, len(text) + 1):
+            assert counter.total(text[:end]) == len(model.encode(text[:end]))
