@@ -402,6 +402,41 @@ def test_long_conversations_are_rendered_whole(spark):
     assert r.loss_sha256 == hashlib.sha256((text * (n // 2)).encode()).hexdigest()
 
 
+def test_every_prefix_is_rendered_at_any_length(spark, monkeypatch):
+    """What a template says of its turns replaces no rendering; stretches of prefixes give what whole conversations give."""
+
+    def drops(turns):
+        return "".join(f"{r}:{t};" for r, t in turns[-150:])
+
+    drops.turn = lambda role, text: f"{role}:{text};"
+
+    def ends(turns):
+        return "^" + "".join(f"<{r} {t}>" for r, t in turns) + ("$" if len(turns) == 31 else "")
+
+    # Renderings of 200 turns of 600 characters come to 24 million characters, beyond where they were left out before.
+    long = [(7, t, "assistant" if t % 2 else "user", f"{t} " + "z" * 600) for t in range(200)]
+    (r,) = chat.format_conversations(spark.createDataFrame(long, "conv_id long, turn long, role string, text string"), drops).collect()
+    held = [(role, text) for _, _, role, text in long]
+    assert (r.rewritten, r.formatted, set(r.span_start)) == (150, drops(held), {-1}) and chat.render(held, drops)[2] == 150
+
+    data = [(c, t // 2, ("user", "assistant", None)[t % 3], None if t == 5 else f"{t} {c}" * (t % 7)) for c in (1, 2, None) for t in range(40 if c != 2 else 3)]
+    rows = spark.createDataFrame(data, "conv_id int, turn long, role string, text string").repartition(3)
+    monkeypatch.setattr(chat, "SPREAD", 3000)
+    monkeypatch.setattr(chat, "LEAST_PASSES", 2)
+    for template in (ends, drops, chat.instruction_template):
+        found = chat.format_conversations(rows, template)
+        assert found.schema["conv_id"].dataType.typeName() == "integer"
+        got = {r.conv_id: r for r in found.collect()}
+        assert len(got) == 3
+        for c, r in got.items():
+            mine = sorted((t, role or "", text or "") for i, t, role, text in data if i == c)
+            text, spans, rewritten = chat.render([x[1:] for x in mine], template)
+            masks = [s[2:] if x[1] == "assistant" else (-1, -1) for x, s in zip(mine, spans)]
+            assert (r.n_turns, r.formatted, r.rewritten) == (len(mine), text, rewritten)
+            assert list(zip(r.span_start, r.span_end)) == [s[:2] for s in spans] and list(zip(r.text_start, r.text_end)) == masks
+    assert got[1].rewritten == -1 and {r.rewritten for r in chat.format_conversations(rows, ends).collect()} == {31, -1}
+
+
 def test_prefix_counts_try_few_starts():
     """Pieces are looked up by their endings; counts are the library's at every prefix that ends a text."""
     import public_tokenizers
