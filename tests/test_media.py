@@ -187,3 +187,23 @@ def test_listed_documents_are_streamed_past_the_ids(spark, monkeypatch):
         found = ops._listed(docs, ids)
         assert sorted(r.conv_id for r in found.collect()) == ["3", "7"]
         assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fetches_wait_in_no_long_queue(spark):
+    """A future for each connection: one for each row took longer than a fetch."""
+
+    def waiting(url):
+        import time
+        from concurrent.futures import thread
+
+        time.sleep(0.004)
+        if url == "u7":
+            raise OSError("gone")
+        return str(max(queue.qsize() for queue in thread._threads_queues.values())).encode()
+
+    rows = spark.range(300).select(F.lit("t").alias("tweet_id"), F.col("id").cast("string").alias("media_id"), F.concat(F.lit("u"), "id").alias("media_url"), F.col("id").cast("string").alias("key"))
+    done = fetch_media(rows, waiting, lambda key, data: f"{key}:{data.decode()}", connections=4, partitions=1, max_retries=1, retry_delay=0.0).collect()
+    assert sorted(int(r.media_id) for r in done) == list(range(300))
+    assert {(r.media_id, r.attempts, r.location) for r in done if r.error} == {("7", 2, None)}
+    kept = [r.location.split(":") for r in done if not r.error]
+    assert all(key == r.media_id for (key, _), r in zip(kept, [r for r in done if not r.error])) and max(int(n) for _, n in kept) <= 4
