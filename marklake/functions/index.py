@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def evaluated_once(value: Column, use) -> Column:
     """``use(value)`` with the value computed a single time for the row, also where lambdas refer to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.aggregate(F.array(), value, lambda kept, _: kept, use)  # copies nothing, see ``model.let``
 
 
 def index_of(entries: Column, last: bool = True) -> Column:

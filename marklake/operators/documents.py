@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marklake import model
-from marklake.model import integer, let, text, valid
+from marklake.model import integer, let, one_of, text, valid
 
 # Entry id prefixes of the timeline.
 MAIN_PREFIX = "tweet-"
 RELATED_PREFIX = "tweetdetailrelatedtweets"
 CURSOR_PREFIX = "cursor"
 
-WRAPPER_KINDS = "'Tweet', 'UserUnavailable', 'TweetWithVisibilityResults'"
+WRAPPER_KINDS = ("Tweet", "UserUnavailable", "TweetWithVisibilityResults")
 
 
 def _spans(path: str, strict: bool) -> str:
@@ -122,9 +122,9 @@ def _outcome(r: str, plain_ok: str, wrapped_ok: str) -> str:
     return (
         "CASE "
         f"WHEN {plain_ok} THEN 'plain' "
-        f"WHEN {wrapped_ok} AND ({r}.__typename IS NULL OR {r}.__typename IN ({WRAPPER_KINDS})) THEN 'wrapped' "
+        f"WHEN {wrapped_ok} AND ({r}.__typename IS NULL OR {one_of(f'{r}.__typename', WRAPPER_KINDS)}) THEN 'wrapped' "
         f"WHEN {r}.__typename = 'Tweet' AND ({r}.tweet IS NOT NULL OR {r}.tombstone IS NOT NULL) THEN 'tombstone' "
-        f"WHEN {r}.tweet IS NULL AND ({r}.__typename IS NULL OR {r}.__typename IN ('Tweet', 'UserUnavailable')) "
+        f"WHEN {r}.tweet IS NULL AND ({r}.__typename IS NULL OR {one_of(f'{r}.__typename', ('Tweet', 'UserUnavailable'))}) "
         "THEN 'unknown' "
         f"WHEN {r}.__typename = 'TweetTombstone' THEN 'tombstone' "
         "ELSE 'invalid' END"
@@ -161,7 +161,7 @@ def _resolve_result(r: str, strict: bool) -> str:
         f"CASE WHEN p IS NOT NULL THEN {_lean_post('p', strict, quoted=True)} END",
     )
     body = (
-        "named_struct('status', CASE WHEN po IN ('plain', 'wrapped') THEN 'post' ELSE po END, "
+        "named_struct('status', CASE WHEN po = 'plain' OR po = 'wrapped' THEN 'post' ELSE po END, "
         f"'post', {lean}, 'quote', CASE WHEN get(qo, ix) IS NOT NULL THEN "
         f"named_struct('status', get(qo, ix), 'post', {lean_quote}) END)"
     )
@@ -180,15 +180,15 @@ _POSITION = "'instr_pos', cast(ii AS INT), 'entry_pos', cast(ei AS INT), 'item_p
 
 
 def _slots(d: str, strict: bool) -> str:
-    """All timeline items of a document, in document order, with their roles."""
+    """Places of all timeline items of a document, in document order, with their roles.
+
+    They are narrow, as lists in lists copy what they hold; ``_item_at`` takes the item itself from its place.
+    """
     entry_id = text("e.entryId", strict)
     in_module = "coalesce(size(e.content.items), 0) > 0"
 
-    def slot(pos: str, role: str, lenient: str, item: str) -> str:
-        return (
-            f"named_struct({_POSITION.format(pos)}, 'role', {role}, "
-            f"'lenient', {lenient}, 'item', {item})"
-        )
+    def slot(pos: str, role: str, lenient: str) -> str:
+        return f"named_struct({_POSITION.format(pos)}, 'role', {role}, 'lenient', {lenient})"
 
     direct_role = (
         "CASE WHEN ins.type <> 'TimelineAddEntries' THEN 'ignored' "
@@ -207,9 +207,8 @@ def _slots(d: str, strict: bool) -> str:
         "id",
         entry_id,
         "concat(CASE WHEN e.content.itemContent IS NOT NULL THEN "
-        f"array({slot('0', direct_role, 'false', 'e.content.itemContent')}) ELSE array() END, "
-        f"coalesce(transform(e.content.items, (it, pi) -> {slot('pi', module_role, 'true', 'it.item.itemContent')}), "
-        "array()))",
+        f"array({slot('0', direct_role, 'false')}) ELSE array() END, "
+        f"coalesce(transform(e.content.items, (it, pi) -> {slot('pi', module_role, 'true')}), array()))",
     )
     return (
         f"coalesce(flatten(transform({d}.{model.ROOT_KEY}.instructions, (ins, ii) -> "
@@ -217,24 +216,26 @@ def _slots(d: str, strict: bool) -> str:
     )
 
 
-def _resolve_slot(s: str, strict: bool) -> str:
-    """Slot with its item replaced by (status, post, quote)."""
+def _item_at(d: str, s: str) -> str:
+    """The item of a slot: that of a module, or the entry's own."""
+    content = f"get(get({d}.{model.ROOT_KEY}.instructions, {s}.instr_pos).entries, {s}.entry_pos).content"
+    return let("c", content, f"CASE WHEN {s}.lenient THEN get(c.items, {s}.item_pos).item.itemContent ELSE c.itemContent END")
+
+
+def _resolve_slot(d: str, s: str, strict: bool) -> str:
+    """Slot with the (status, post, quote) of its item."""
     missing = (
-        f"CASE WHEN {s}.lenient OR ({s}.item.itemType = 'TimelineTimelineCursor' "
-        f"AND {s}.item.tweet_results IS NULL) THEN 'missing' ELSE 'invalid' END"
+        f"CASE WHEN {s}.lenient OR (item.itemType = 'TimelineTimelineCursor' "
+        "AND item.tweet_results IS NULL) THEN 'missing' ELSE 'invalid' END"
     )
     resolved = let(
         "r",
-        f"{s}.item.tweet_results.result",
+        "item.tweet_results.result",
         f"CASE WHEN r IS NOT NULL THEN {_resolve_result('r', strict)} END",
     )
     kept = ", ".join(f"'{n}', {s}.{n}" for n in ("instr_pos", "entry_pos", "item_pos", "role"))
-    return let(
-        "x",
-        resolved,
-        f"named_struct({kept}, 'status', coalesce(x.status, {missing}), 'post', x.post, "
-        "'quote', CASE WHEN x.quote IS NOT NULL THEN x.quote END)",
-    )
+    body = f"named_struct({kept}, 'status', coalesce(x.status, {missing}), 'post', x.post, 'quote', CASE WHEN x.quote IS NOT NULL THEN x.quote END)"
+    return let("item", _item_at(d, s), let("x", resolved, body))
 
 
 def _bad_spans(spans: str) -> str:
@@ -254,22 +255,23 @@ def _breaks_extraction(p: str, with_article: bool) -> str:
 
 @lru_cache(maxsize=8)
 def _resolved_sql(keep: tuple[str, ...], strict: bool, whole: bool, extraction: bool) -> str:
-    roles = ", ".join(f"'{r}'" for r in keep)
-    wanted = "s.role IN ('main', 'reply')"
+    wanted = "(s.role = 'main' OR s.role = 'reply' OR s.role = 'ancestor')"
     breaks = (
         f"exists(slots, s -> {wanted} AND ({_breaks_extraction('s.post', True)} "
         f"OR coalesce({_breaks_extraction('s.quote.post', False)}, false)))"
     )
     # Ancestors of the saved post also arrive as main entries: the last one wins.
-    last_main = "array_max(transform(slots, (s, i) -> CASE WHEN s.role = 'main' THEN i END))"
-    kept = let(
-        "last",
-        last_main,
-        "filter(transform(slots, (s, i) -> CASE WHEN s.role = 'main' AND i <> last "
-        "THEN named_struct('instr_pos', s.instr_pos, 'entry_pos', s.entry_pos, 'item_pos', s.item_pos, "
-        "'role', 'ancestor', 'status', s.status, 'post', s.post, 'quote', s.quote) ELSE s END), "
-        f"s -> s.role IN ({roles}))",
+    ancestor = "named_struct('instr_pos', s.instr_pos, 'entry_pos', s.entry_pos, 'item_pos', s.item_pos, 'role', 'ancestor', 'lenient', s.lenient)"
+    places = let(
+        "places",
+        _slots("d", strict),
+        let(
+            "last",
+            "array_max(transform(places, (s, i) -> CASE WHEN s.role = 'main' THEN i END))",
+            f"transform(places, (s, i) -> CASE WHEN s.role = 'main' AND i <> last THEN {ancestor} ELSE s END)",
+        ),
     )
+    kept = f"filter(slots, s -> {one_of('s.role', keep)})"
     no_main = "NOT exists(slots, s -> s.role = 'main')" if whole and extraction else "false"
     breaks = breaks if extraction else "false"
     reason = (
@@ -289,7 +291,7 @@ def _resolved_sql(keep: tuple[str, ...], strict: bool, whole: bool, extraction:
         shape,
         let(
             "slots",
-            f"transform({_slots('d', strict)}, s -> {_resolve_slot('s', strict)})",
+            f"transform({places}, s -> {_resolve_slot('d', 's', strict)})",
             let(
                 "reason",
                 reason,
@@ -300,7 +302,8 @@ def _resolved_sql(keep: tuple[str, ...], strict: bool, whole: bool, extraction:
     )
     # The one-element array makes `inline` a barrier: filters on its output are
     # not pushed below it, so the document is parsed once per row.
-    return f"inline(transform(array(from_json(raw, '{model.conversation_ddl(strict)}')), d -> {body}))"
+    document = f"from_json(raw, '{model.conversation_ddl(strict)}')"
+    return f"inline(array({let('d', document, body)}))"
 
 
 def key_columns(df: DataFrame) -> list[str]:

@@ -90,7 +90,7 @@ def post_media(
                 tweet_id, m["id_str"], info["variants"], info["duration_millis"], m["type"], full
             )
             return F.when((m["type"] == "photo") & F.lit(images), photo).when(
-                m["type"].isin("video", "animated_gif") & F.lit(videos), video
+                ((m["type"] == "video") | (m["type"] == "animated_gif")) & F.lit(videos), video
             )
 
         return F.array_compact(F.transform(items, one))

@@ -102,7 +102,7 @@ def extract_quote(
     nothing keeps the link of the quoting post.
     """
     post = quote["post"]
-    found = quote["status"].isin("plain", "wrapped")
+    found = (quote["status"] == "plain") | (quote["status"] == "wrapped")
     gone = quote["status"] == "tombstone"
     empty = F.lit("")
 

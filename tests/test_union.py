@@ -167,3 +167,13 @@ def test_strict_text(spark):
     assert lax == {"good": "post", "numeric": "post"}
     assert strict["good"] == ("post", "whole")
     assert strict["numeric"][0] == "unknown"
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_documents_are_not_copied_from_step_to_step(strict):
+    """Names are bound without a list around them, whose making copies the document; kinds are compared without lists."""
+    from marklake.operators.documents import _resolved_sql
+
+    sql = _resolved_sql(("main", "reply"), strict, True, True)
+    assert "transform(array(" not in sql and "'item', " not in sql
+    assert "__typename IN" not in sql and ".type IN" not in sql
