@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marklake import model
 from marklake.model import let, violations
-from marklake.operators.documents import _resolve_slot, _slots, key_columns, resolve_documents
+from marklake.operators.documents import _item_at, _resolve_slot, _slots, key_columns, resolve_documents
 
 
 @lru_cache(maxsize=2)
@@ -17,18 +17,19 @@ def _violations_sql(strict: bool) -> str:
     root = f"d.{model.ROOT_KEY}.instructions"
     shape = model._joined(violations(root, model.INSTRUCTIONS, "instructions", strict))
     inside = model._joined(
-        violations("s.item.tweet_results.result.tweet", model.POST, "result.tweet", strict)
+        violations("item.tweet_results.result.tweet", model.POST, "result.tweet", strict)
     )
     slot = (
-        "CASE WHEN s.item.tweet_results.result IS NULL THEN array('tweet_results.result') "
-        "WHEN s.item.tweet_results.result.tweet IS NULL THEN array('result') "
+        "CASE WHEN item.tweet_results.result IS NULL THEN array('tweet_results.result') "
+        "WHEN item.tweet_results.result.tweet IS NULL THEN array('result') "
         f"ELSE {let('inner_paths', inside, 'CASE WHEN size(inner_paths) > 0 THEN inner_paths ELSE array(' + repr('result') + ') END')} END"
     )
-    per_slot = let(
+    checked = let(
         "x",
-        _resolve_slot("s", strict),
+        _resolve_slot("d", "s", strict),
         f"CASE WHEN x.status = 'invalid' THEN {slot} ELSE cast(array() AS array<string>) END",
     )
+    per_slot = let("item", _item_at("d", "s"), checked)
     posts = f"flatten(transform({_slots('d', strict)}, s -> {per_slot}))"
     found = let(
         "shape",
